@@ -54,13 +54,15 @@ def band_order(label: Column, labels: Sequence[str]) -> Column:
     return out
 
 
-def one_row(df: DataFrame, **aggregates: Column) -> Column:
-    """Whole-table aggregates as a scalar-subquery struct column.
+def with_totals(df: DataFrame, source: DataFrame, out: str = "_all", **aggregates: Column) -> DataFrame:
+    """Adds whole-table aggregates of ``source`` to every row, as the struct column ``out``.
 
-    The subquery yields exactly one row, so no join is planned and nothing that grows
-    with the data is sent to the executors; equal shuffles are reused by AQE.
+    They come from a scalar subquery, which yields exactly one row: no join is planned and
+    nothing that grows with the data is sent to the executors. The struct is referenced
+    through one column, so the subquery stands once in the plan however many fields are used.
     """
-    return df.agg(F.struct(*[agg.alias(name) for name, agg in aggregates.items()]).alias("s")).scalar()
+    fields = [aggregate.alias(name) for name, aggregate in aggregates.items()]
+    return df.withColumn(out, source.agg(F.struct(*fields).alias(out)).scalar())
 
 
 def z_score(value: Column, mu: Column, sigma: Column) -> Column:

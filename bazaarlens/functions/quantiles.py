@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.numeric import one_row
+from bazaarlens.functions.numeric import with_totals
 
 SKETCH_ACCURACY = 100_000
 SKETCH_MARGIN = 5.0 / SKETCH_ACCURACY
@@ -23,25 +23,30 @@ def exact_quantile(df: DataFrame, value: str, p: float, out: str = "quantile") -
     rows one rank is wider than the margin, so there the bracket is everything.
     """
     values = df.select(F.col(value).alias("v")).where(F.col("v").isNotNull())
-    bracket = one_row(
+    bracketed = with_totals(
+        values,
         values,
         n=F.count("v"),
         least=F.min("v"),
         most=F.max("v"),
         ends=F.percentile_approx("v", [max(0.0, p - SKETCH_MARGIN), min(1.0, p + SKETCH_MARGIN)], SKETCH_ACCURACY),
     )
-    small = bracket.getField("n") <= SMALL_INPUT
-    low = F.when(small, bracket.getField("least")).otherwise(bracket.getField("ends").getItem(0))
-    high = F.when(small, bracket.getField("most")).otherwise(bracket.getField("ends").getItem(1))
-    side = F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0)
+    small = F.col("_all.n") <= SMALL_INPUT
+    low = F.when(small, F.col("_all.least")).otherwise(F.col("_all.ends")[0])
+    high = F.when(small, F.col("_all.most")).otherwise(F.col("_all.ends")[1])
     counted = (
-        values.select(side.alias("side"), F.when((F.col("v") >= low) & (F.col("v") <= high), F.col("v")).alias("v"))
-        .groupBy("side", "v")
+        bracketed.select("v", F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0).alias("side"))
+        .groupBy("side", F.when(F.col("side") == 0, F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    ranked = counted.withColumn(
-        "through", F.sum("copies").over(Window.orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("rank", F.lit(p) * (bracket.getField("n") - 1).cast("double"))
+    # From here on there are only the values inside the bracket and two rows for the rest.
+    inside = Window.orderBy("side", "v")
+    ranked = counted.select(
+        "side",
+        "v",
+        F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("through"),
+        F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
+    ).withColumn("rank", F.lit(p) * (F.col("n") - 1).cast("double"))
     reached = F.col("side") == 0
     picked = ranked.agg(
         F.min(F.when(reached & (F.col("through") > F.floor("rank")), F.col("v"))).cast("double").alias("lower"),
@@ -68,29 +73,27 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, digits: int) ->
     """
     scaled = df.select((F.col(value).cast("decimal(28,8)") * F.lit(10**digits)).cast("long").alias("v"))
     scaled = scaled.where(F.col("v").isNotNull())
-    limits = one_row(scaled, low=F.min("v"), high=F.max("v"))
-    low, high = limits.getField("low"), limits.getField("high")
+    limited = with_totals(scaled, scaled, low=F.min("v"), high=F.max("v")).select("v", "_all.low", "_all.high")
     position = F.expr(f"((v - low) * {bins}) div nullif(high - low, 0)")
-    counts = (
-        scaled.withColumn("low", low)
-        .withColumn("high", high)
-        .select(F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(bins // 2)).cast("int").alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("frequency"))
+    counted = limited.groupBy(
+        "low", "high", F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(bins // 2)).cast("int").alias("bin")
+    ).agg(F.count(F.lit(1)).alias("frequency"))
+    # At most ``bins`` rows are left; one map of them fills the empty bins with zero.
+    filled = counted.groupBy("low", "high").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "frequency"))).alias("found")
     )
     unit = float(10**digits)
-    edges = (
-        scaled.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-        .where(F.col("low").isNotNull())
-        .select(
-            F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-            F.when(F.col("high") > F.col("low"), F.col("low") / unit).otherwise(F.col("low") / unit - 0.5).alias("start"),
-            F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / unit).otherwise(1.0).alias("width"),
-        )
-    )
-    return edges.join(counts, "bin", "left").select(
+    spread = F.col("high") > F.col("low")
+    start = F.when(spread, F.col("low") / unit).otherwise(F.col("low") / unit - 0.5)
+    width = F.when(spread, (F.col("high") - F.col("low")) / unit).otherwise(1.0)
+    return filled.select(
+        "found",
+        start.alias("start"),
+        width.alias("width"),
+        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
+    ).select(
         "bin",
         (F.col("start") + F.col("width") * F.col("bin") / bins).alias("bin_start"),
         (F.col("start") + F.col("width") * (F.col("bin") + 1) / bins).alias("bin_end"),
-        F.coalesce("frequency", F.lit(0)).alias("frequency"),
+        F.coalesce(F.try_element_at("found", "bin"), F.lit(0)).alias("frequency"),
     )

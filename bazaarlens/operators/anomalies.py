@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import calendar
-from bazaarlens.functions.numeric import one_row, ratio, rounded, z_score
+from bazaarlens.functions.numeric import ratio, rounded, with_totals, z_score
 from bazaarlens.functions.quantiles import equal_width_histogram, exact_quantile
 
 # Thresholds, weights and window sizes.
@@ -27,7 +27,8 @@ def high_velocity_sellers(orders: DataFrame) -> DataFrame:
         F.count("order_id").alias("weekly_orders"), F.sum("gmv").alias("weekly_gmv")
     )
     n, gmv = F.col("weekly_orders"), F.col("weekly_gmv")
-    stats = one_row(
+    weekly = with_totals(
+        weekly,
         weekly,
         n_mu=F.avg(n),
         n_sigma=F.stddev_samp(n),
@@ -37,8 +38,8 @@ def high_velocity_sellers(orders: DataFrame) -> DataFrame:
     return (
         weekly.withColumns(
             {
-                "order_z": z_score(n, stats.getField("n_mu"), stats.getField("n_sigma")),
-                "gmv_z": z_score(gmv, stats.getField("gmv_mu"), stats.getField("gmv_sigma")),
+                "order_z": z_score(n, F.col("_all.n_mu"), F.col("_all.n_sigma")),
+                "gmv_z": z_score(gmv, F.col("_all.gmv_mu"), F.col("_all.gmv_sigma")),
             }
         )
         .withColumn("combined_z", (F.col("order_z") + F.col("gmv_z")) / 2)
@@ -70,7 +71,8 @@ def refund_anomalies(orders: DataFrame) -> DataFrame:
         .withColumn("return_rate", ratio(F.col("returned_orders"), F.col("total_orders")))
     )
     rate, gmv = F.col("return_rate"), F.col("total_gmv")
-    stats = one_row(
+    sellers = with_totals(
+        sellers,
         sellers,
         rate_mu=F.avg(rate),
         rate_sigma=F.stddev_samp(rate),
@@ -81,12 +83,13 @@ def refund_anomalies(orders: DataFrame) -> DataFrame:
     return (
         sellers.withColumns(
             {
-                "return_rate_z": z_score(rate, stats.getField("rate_mu"), stats.getField("rate_sigma")),
-                "gmv_z": z_score(gmv, stats.getField("gmv_mu"), stats.getField("gmv_sigma")),
+                "return_rate_z": z_score(rate, F.col("_all.rate_mu"), F.col("_all.rate_sigma")),
+                "gmv_z": z_score(gmv, F.col("_all.gmv_mu"), F.col("_all.gmv_sigma")),
             }
         )
         .where(F.col("return_rate_z") > REFUND_Z_THRESHOLD)
         .withColumn("fraud_score", rounded(score, 4))
+        .drop("_all")
         .orderBy(F.desc("fraud_score"), "seller_id")
     )
 

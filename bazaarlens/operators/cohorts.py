@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import calendar
-from bazaarlens.functions.numeric import one_row, ratio, rounded
+from bazaarlens.functions.numeric import ratio, rounded, with_totals
 
 LAST_PERIOD = 11
 PERIODS = list(range(LAST_PERIOD + 1))
@@ -123,10 +123,9 @@ def cohort_ltv_matrix(orders: DataFrame) -> DataFrame:
 
 def cohort_ltv_observed(orders: DataFrame) -> DataFrame:
     """Lifetime value of observed months only, for cohorts with at least six of them."""
-    last = one_row(_delivered_months(orders), month=F.max("_month")).getField("month")
-    observed = last - F.col("cohort")
+    observed = F.col("_all.month") - F.col("cohort")
     return (
-        _ltv_cells(orders)
+        with_totals(_ltv_cells(orders), _delivered_months(orders), month=F.max("_month"))
         .where(observed + 1 >= MIN_OBSERVED_MONTHS)
         .select(
             calendar.month_label(F.col("cohort")).alias("cohort_month"),
@@ -144,7 +143,7 @@ def cohort_report(orders: DataFrame) -> DataFrame:
     kept = F.col("m1").isNotNull()
     best = F.min_by("cohort_month", F.when(kept, F.struct(-F.col("m1"), F.col("cohort_month"))))
     worst = F.min_by("cohort_month", F.when(kept, F.struct(F.col("m1"), F.col("cohort_month"))))
-    value = one_row(cohort_ltv_matrix(orders), mean=F.avg("m6")).getField("mean")
+    value = cohort_ltv_matrix(orders).agg(F.avg("m6")).scalar()
     return retention.agg(
         *[rounded(F.avg(f"m{k}") * 100, 1).alias(f"avg_m{k}_retention_pct") for k in (1, 3, 6)],
         best.alias("best_m1_cohort"),

@@ -138,7 +138,7 @@ def _segment_baselines(sessions: DataFrame, segment: str) -> DataFrame:
         F.col(segment).alias("segment"),
         "control_n",
         "variant_n",
-        (rounded(_rate("control") * 100, 4) / 100).alias("baseline_rate"),
+        rounded(_rate("control"), 6).alias("baseline_rate"),
         (_rate("variant") - _rate("control")).alias("observed_effect"),
     )
 

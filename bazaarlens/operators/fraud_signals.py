@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import calendar
-from bazaarlens.functions.numeric import mean, one_row, percent, rounded
+from bazaarlens.functions.numeric import mean, percent, rounded, with_totals
 
 # Thresholds and labels of the report.
 VELOCITY_Z = 3.0
@@ -48,10 +48,10 @@ def high_velocity(orders: DataFrame) -> DataFrame:
     """Seller weeks with more than three population deviations above the mean order count."""
     weekly = weekly_seller_orders(orders)
     n = F.col("weekly_orders")
-    stats = one_row(weekly, mu=F.avg(n), sigma=F.stddev_pop(n))
-    z = F.try_divide(n - stats.getField("mu"), stats.getField("sigma"))
+    z = F.try_divide(n - F.col("_all.mu"), F.col("_all.sigma"))
     return (
-        weekly.withColumn("_z", z)
+        with_totals(weekly, weekly, mu=F.avg(n), sigma=F.stddev_pop(n))
+        .withColumn("_z", z)
         .where(F.col("_z") > VELOCITY_Z)
         .select(
             "seller_id",
@@ -90,17 +90,18 @@ def return_anomaly(orders: DataFrame, as_of: str, days: int = RETURN_DAYS) -> Da
     profile = seller_return_profile(orders, as_of, days)
     rate, gmv = F.col("return_rate_pct"), F.col("total_gmv")
     # The rates have two decimals: averaging them as decimals makes the mean exact.
-    usual = one_row(
+    profile = with_totals(
+        profile,
         profile,
         rate=F.sum(rate.cast("decimal(18,2)")).cast("double") / F.nullif(F.count(rate), F.lit(0)),
         gmv=F.sum(gmv).cast("double") / F.nullif(F.count(gmv), F.lit(0)),
     )
     signal = (
-        F.when((rate > 2 * usual.getField("rate")) & (gmv.cast("double") > usual.getField("gmv")), HIGH_RISK)
-        .when(rate > 1.5 * usual.getField("rate"), ELEVATED)
+        F.when((rate > 2 * F.col("_all.rate")) & (gmv.cast("double") > F.col("_all.gmv")), HIGH_RISK)
+        .when(rate > 1.5 * F.col("_all.rate"), ELEVATED)
         .otherwise(NORMAL)
     )
-    return profile.where(rate > 1.3 * usual.getField("rate")).select(
+    return profile.where(rate > 1.3 * F.col("_all.rate")).select(
         "seller_id", "total_orders", "return_rate_pct", "total_gmv", "avg_order_gmv", signal.alias("return_signal")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.numeric import band_order, bands, mean, one_row, percent, ratio, rounded
+from bazaarlens.functions.numeric import band_order, bands, mean, percent, ratio, rounded, with_totals
 from bazaarlens.functions.quantiles import equal_width_histogram, exact_quantile
 
 # Labels, edges, weights and thresholds.
@@ -24,13 +24,18 @@ def disputed_payments(payments: DataFrame) -> DataFrame:
     result drops the sort from its plan.
     """
     disputed = payments.where("discrepancy_flag = 1")
-    largest = one_row(disputed, amt=F.max("discrepancy_amt"), pct=F.max("discrepancy_pct"))
-    score = F.lit(AMOUNT_WEIGHT) * ratio(F.col("discrepancy_amt"), largest.getField("amt")) + F.lit(PCT_WEIGHT) * ratio(
-        F.col("discrepancy_pct"), largest.getField("pct")
+    scored = with_totals(disputed, disputed, amt=F.max("discrepancy_amt"), pct=F.max("discrepancy_pct"))
+    score = F.lit(AMOUNT_WEIGHT) * ratio(F.col("discrepancy_amt"), F.col("_all.amt")) + F.lit(PCT_WEIGHT) * ratio(
+        F.col("discrepancy_pct"), F.col("_all.pct")
     )
     return (
-        disputed.withColumn("risk_score", rounded(score, 4))
-        .withColumn("severity_tier", bands(F.col("discrepancy_pct"), TIER_EDGES, TIERS))
+        scored.withColumns(
+            {
+                "risk_score": rounded(score, 4),
+                "severity_tier": bands(F.col("discrepancy_pct"), TIER_EDGES, TIERS),
+            }
+        )
+        .drop("_all")
         .orderBy(F.desc("risk_score"), "payment_id")
     )
 

@@ -14,12 +14,16 @@ from bazaarlens.functions.numeric import ratio, rounded
 
 
 def drop_duplicate_keys(df: DataFrame, keys: Sequence[str], first_by: Sequence[str]) -> DataFrame:
-    """One row per key: the first in ``first_by`` order.
+    """One row per key: the first in ``first_by`` order, then in the order of the other columns.
 
     Filtering a row number to 1 makes Spark keep one row per key in every map task before
-    the shuffle, so a key with very many copies sends at most one row per task.
+    the shuffle, so a key with very many copies sends at most one row per task. Ordering by
+    every column makes the choice complete, and it fixes the columns of the shuffle: a plan
+    that uses the deduplicated table several times computes it once, because AQE finds the
+    same exchange again.
     """
-    order = Window.partitionBy(*keys).orderBy(*first_by)
+    others = [c for c in df.columns if c not in keys and c not in first_by]
+    order = Window.partitionBy(*keys).orderBy(*first_by, *others)
     return df.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
 
 

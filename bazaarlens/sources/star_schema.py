@@ -23,6 +23,7 @@ VARIANTS = ("control", "variant_b")
 PAYMENT_METHODS = {"F": "UPI", "O": "Credit Card", "P": "COD"}
 LINE_KEY = ("l_orderkey", "l_linenumber")
 LINE_TIEBREAK = ("l_suppkey", "l_partkey", "l_extendedprice")
+LINE_VALUES = ("l_quantity", "l_discount", "l_returnflag", "l_linestatus")
 
 
 def _pick(index: Column, names: tuple[str, ...]) -> Column:
@@ -48,7 +49,8 @@ class StarSchemaTables:
 
     def lines(self) -> DataFrame:
         """Order lines, one per key. The duplicate copies go before any join sees them."""
-        return quality.drop_duplicate_keys(self.raw_lines(), LINE_KEY, LINE_TIEBREAK)
+        lines = self.raw_lines().select(*LINE_KEY, *LINE_TIEBREAK, *LINE_VALUES)
+        return quality.drop_duplicate_keys(lines, LINE_KEY, LINE_TIEBREAK)
 
     def _order_id(self) -> Column:
         return F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
