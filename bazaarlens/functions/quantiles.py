@@ -76,7 +76,9 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, digits: int) ->
     limited = with_totals(scaled, scaled, low=F.min("v"), high=F.max("v")).select("v", "_all.low", "_all.high")
     position = F.expr(f"((v - low) * {bins}) div nullif(high - low, 0)")
     counted = limited.groupBy(
-        "low", "high", F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(bins // 2)).cast("int").alias("bin")
+        "low",
+        "high",
+        F.when(position >= bins, bins - 1).otherwise(F.coalesce(position, F.lit(bins // 2))).cast("int").alias("bin"),
     ).agg(F.count(F.lit(1)).alias("frequency"))
     # At most ``bins`` rows are left; one map of them fills the empty bins with zero.
     filled = counted.groupBy("low", "high").agg(

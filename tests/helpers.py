@@ -1,0 +1,62 @@
+"""Literal inputs with the logical columns."""
+
+from __future__ import annotations
+
+from datetime import datetime
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+
+from bazaarlens import schemas
+
+
+def when(text: str) -> datetime:
+    return datetime.fromisoformat(text)
+
+
+def money(value) -> Decimal | None:
+    return None if value is None else Decimal(str(value)).quantize(Decimal("0.01"))
+
+
+def orders(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    base = {
+        "customer_id": "C1", "seller_id": "S1", "order_date": "2024-01-15 10:00:00", "category": "Books",
+        "gmv": 1000, "discount_amount": 0, "shipping_fee": 0, "status": "delivered",
+        "payment_method": "UPI", "channel": "email",
+    }
+    filled = []
+    for number, row in enumerate(rows):
+        r = {"order_id": f"O{number:05d}", **base, **row}
+        r["order_date"] = when(r["order_date"]) if isinstance(r["order_date"], str) else r["order_date"]
+        for name in ("gmv", "discount_amount", "shipping_fee"):
+            r[name] = money(r[name])
+        if "net_revenue" not in r:
+            r["net_revenue"] = r["gmv"] - r["discount_amount"] + r["shipping_fee"]
+        filled.append(tuple(r[f.name] for f in schemas.ORDERS.fields))
+    return spark.createDataFrame(filled, schemas.ORDERS)
+
+
+def payments(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    filled = []
+    for number, row in enumerate(rows):
+        r = {
+            "payment_id": f"P{number:05d}", "order_id": f"O{number:05d}", "seller_id": "S1",
+            "expected_payout": 100, "actual_payout": 100, "settlement_date": "2024-01-22 10:00:00",
+            "settlement_cycle": None, "status": None, **row,
+        }
+        r["settlement_date"] = when(r["settlement_date"]) if isinstance(r["settlement_date"], str) else r["settlement_date"]
+        for name in ("expected_payout", "actual_payout"):
+            r[name] = money(r[name])
+        r["discrepancy_amt"] = r["expected_payout"] - r["actual_payout"]
+        r["discrepancy_flag"] = int(r["discrepancy_amt"] != 0)
+        filled.append(tuple(r[f.name] for f in schemas.PAYMENTS.fields))
+    return spark.createDataFrame(filled, schemas.PAYMENTS)
+
+
+def sellers(spark: SparkSession, ids: list[str]) -> DataFrame:
+    rows = [(i, f"Seller {i}", "Books", "KA", "Gold", None, money(10), 1) for i in ids]
+    return spark.createDataFrame(rows, schemas.SELLERS)
+
+
+def by(df: DataFrame, key: str) -> dict:
+    return {row[key]: row for row in df.collect()}
