@@ -26,10 +26,12 @@ def _with_offset(
     total: Column,
     within: Column,
     out: str,
+    base: DataFrame | None,
 ) -> DataFrame:
     earlier = Window.partitionBy(*keys).orderBy(*chunk_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys, *chunk)
+        (df if base is None else base)
+        .groupBy(*keys, *chunk)
         .agg(total.alias("_chunk_total"))
         .select(*keys, *chunk, F.coalesce(F.sum("_chunk_total").over(earlier), F.lit(0)).alias("_offset"))
     )
@@ -50,9 +52,11 @@ def running_total(
     order: Sequence[Column],
     value: str,
     out: str,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Cumulative sum of ``value`` per key in ``order``."""
-    return _with_offset(df, keys, chunk, chunk_order, order, F.sum(value), F.sum(value), out)
+    """Cumulative sum of ``value`` per key in ``order``. ``base`` holds the same rows as
+    ``df`` in a cheaper form, for the chunk totals, when ``df`` carries earlier windows."""
+    return _with_offset(df, keys, chunk, chunk_order, order, F.sum(value), F.sum(value), out, base)
 
 
 def row_number(
@@ -62,6 +66,7 @@ def row_number(
     chunk_order: Sequence[Column],
     order: Sequence[Column],
     out: str,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """1, 2, 3, ... per key in ``order``."""
-    return _with_offset(df, keys, chunk, chunk_order, order, F.count(F.lit(1)), F.row_number(), out)
+    """1, 2, 3, ... per key in ``order``; ``base`` as for :func:`running_total`."""
+    return _with_offset(df, keys, chunk, chunk_order, order, F.count(F.lit(1)), F.row_number(), out, base)

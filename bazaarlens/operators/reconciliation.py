@@ -73,9 +73,11 @@ def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFra
         "discrepancy_severity",
         calendar.days_between(F.col("settlement_date"), F.col("order_date")).alias("settlement_delay_days"),
         F.coalesce(F.col("settlement_date").cast("date"), undated).alias("_day"),
-        F.coalesce(F.signum(amount.cast("double")) * F.when(amount == 0, 0).otherwise(magnitude), F.lit(-1e9)).alias("_class"),
+        F.coalesce(
+            (F.signum(amount.cast("double")) * F.when(amount == 0, 0).otherwise(magnitude)).cast("int"), F.lit(-(10**6))
+        ).alias("_class"),
     ).withColumn("_zero_day", F.when(F.col("_class") == 0, F.col("_day")).otherwise(undated))
-    rows = ordered.running_total(
+    trail = ordered.running_total(
         rows,
         keys=["seller_id"],
         chunk=["_day"],
@@ -84,15 +86,16 @@ def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFra
         value="discrepancy_amt",
         out="cumulative_discrepancy_by_seller",
     )
-    rows = ordered.row_number(
-        rows,
+    trail = ordered.row_number(
+        trail,
         keys=["seller_id"],
         chunk=["_class", "_zero_day"],
         chunk_order=[F.desc("_class"), F.asc("_zero_day")],
         order=[F.desc("discrepancy_amt"), F.asc("settlement_date"), F.asc("payment_id")],
         out="rank_within_seller",
+        base=rows,
     )
-    return rows.drop("_day", "_class", "_zero_day")
+    return trail.drop("_day", "_class", "_zero_day")
 
 
 def top_discrepancies_per_seller(

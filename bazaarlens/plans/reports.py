@@ -40,8 +40,8 @@ def _round_columns(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({name: rounded(F.col(name), n) for name, n in digits.items()})
 
 
-def _settled(operator: Callable[..., DataFrame], category: bool = False) -> Callable[[Tables], DataFrame]:
-    return lambda t: operator(t.orders(category), t.payments(), t.seller_names())
+def _settled(operator: Callable[..., DataFrame]) -> Callable[[Tables], DataFrame]:
+    return lambda t: operator(t.orders(), t.payments(), t.sellers())
 
 
 def _clean_roundtrip(t: Tables) -> DataFrame:
@@ -66,16 +66,16 @@ def _constraints(t: Tables) -> DataFrame:
 
 REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     # Quality and load
-    "dedup_orders": lambda t: t.raw_orders(category=True),
+    "dedup_orders": lambda t: t.raw_orders(),
     "duplicate_audit": _duplicates,
     "null_audit": _nulls,
     "range_audit": lambda t: quality.range_audit(t.orders(), etl.ORDER_RANGES, "orders"),
     "constraint_audit": _constraints,
     "clean_roundtrip": _clean_roundtrip,
-    "orders_enriched": lambda t: t.orders(category=True),
+    "orders_enriched": lambda t: t.orders(),
     "payments_enriched": lambda t: t.payments(),
     "customers_enriched": lambda t: enrich.enrich_customers(t.customers(), TENURE_AS_OF),
-    "expected_payouts": lambda t: enrich.expected_payouts(t.orders(), t.seller_names()),
+    "expected_payouts": lambda t: enrich.expected_payouts(t.orders(), t.sellers()),
     "payout_discrepancies": lambda t: enrich.derive_discrepancy(t.raw_payments()),
     # Summaries
     "monthly_revenue_summary": lambda t: summaries.monthly_revenue_summary(t.orders()),
@@ -83,10 +83,10 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "discrepancy_summary": lambda t: summaries.discrepancy_summary(t.payments()),
     # Reconciliation report
     "payment_audit_trail": lambda t: _round_columns(
-        _settled(reconciliation.payment_audit_trail, category=True)(t), settlement_delay_days=6
+        _settled(reconciliation.payment_audit_trail)(t), settlement_delay_days=6
     ),
     "top_discrepancies_per_seller": lambda t: reconciliation.top_discrepancies_per_seller(
-        t.orders(), t.payments(), t.seller_names(), TOP_PER_SELLER
+        t.orders(), t.payments(), t.sellers(), TOP_PER_SELLER
     ),
     "seller_discrepancy_summary": _settled(reconciliation.seller_discrepancy_summary),
     "settlement_cycle_anomalies": _settled(reconciliation.settlement_cycle_anomalies),
@@ -95,10 +95,10 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "reconciliation_report": _settled(reconciliation.reconciliation_report),
     # Payout risk
     "disputed_payments": lambda t: payout_risk.disputed_payments(t.payments()),
-    "seller_audit_list": lambda t: payout_risk.seller_audit_list(t.payments(), t.seller_names()),
+    "seller_audit_list": lambda t: payout_risk.seller_audit_list(t.payments(), t.sellers()),
     "severity_breakdown": lambda t: payout_risk.severity_breakdown(t.payments()),
     "monthly_discrepancy_trend": lambda t: payout_risk.monthly_discrepancy_trend(t.payments()),
-    "top_risk_sellers": lambda t: payout_risk.top_risk_sellers(t.payments(), t.seller_names(), TOP_SELLERS),
+    "top_risk_sellers": lambda t: payout_risk.top_risk_sellers(t.payments(), t.sellers(), TOP_SELLERS),
     "discrepancy_pct_histogram": lambda t: _round_columns(
         payout_risk.discrepancy_pct_histogram(t.payments()), bin_start=6, bin_end=6, median_pct=4
     ),
@@ -106,10 +106,10 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     # Marketing report
     "channel_revenue": lambda t: _round_columns(attribution.channel_revenue(t.orders()), avg_order_value=4),
     "monthly_channel_trend": lambda t: attribution.monthly_channel_trend(t.orders()),
-    "acquisition_ltv": lambda t: attribution.acquisition_ltv(t.customer_channels(), t.orders()),
+    "acquisition_ltv": lambda t: attribution.acquisition_ltv(t.customers(), t.orders()),
     "order_sequence": lambda t: attribution.order_sequence(t.orders()),
     "new_vs_returning": lambda t: attribution.new_vs_returning(t.orders()),
-    "channel_scorecard": lambda t: attribution.channel_scorecard(t.orders(), t.customer_channels()),
+    "channel_scorecard": lambda t: attribution.channel_scorecard(t.orders(), t.customers()),
     # Marketing ROI
     "channel_roi": lambda t: _round_columns(
         channel_roi.channel_roi(t.orders(), t.marketing_spend()), avg_order_value=4

@@ -7,7 +7,21 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "bazaarlens", master: str | None = None, **conf: str) -> SparkSession:
+TARGET_PARTITION_BYTES = 128 * 1024**2
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions that stay near 128 MiB if a whole input is shuffled.
+
+    AQE merges small ones afterwards but cannot make more, so a large input has to start
+    with many: 100 TB give about 800,000.
+    """
+    return max(200, -(-input_bytes // TARGET_PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "bazaarlens", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings the operators rely on.
 
     AQE does three jobs here: it turns a join into a broadcast join only once the
@@ -26,6 +40,8 @@ def build_session(app: str = "bazaarlens", master: str | None = None, **conf: st
         # Recording the Python call site of every column expression doubles planning time.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
+    if input_bytes is not None:
+        defaults["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(shuffle_partitions(input_bytes))
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

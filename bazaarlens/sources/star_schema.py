@@ -72,23 +72,24 @@ class StarSchemaTables:
             "shipping_fee": F.col("l_quantity").cast(MONEY),
         }
 
-    def raw_orders(self, category: bool = False, deduplicated: bool = True) -> DataFrame:
-        """Orders as extracted. ``category`` adds the part lookup; Catalyst cannot drop an
-        unused join, so only the reports that show the category ask for it."""
+    def _lookup(self, df: DataFrame, key: str, table: str, table_key: str, value: str, out: str) -> DataFrame:
+        """Left join to one value of a dimension. Grouping by the key makes it provably
+        unique, so Catalyst drops the whole join from plans that do not use the value."""
+        dimension = self.scan(table).groupBy(table_key).agg(F.min(value).alias(out))
+        return df.join(dimension, F.col(key) == F.col(table_key), "left")
+
+    def raw_orders(self) -> DataFrame:
+        """Orders as extracted, one row per key."""
         headers = self.scan("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-        lines = self.lines() if deduplicated else self.raw_lines()
-        rows = lines.join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = self.lines().join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = self._lookup(rows, "l_partkey", "part", "p_partkey", "p_type", "category")
         columns = {
             "order_id": self._order_id(),
             "customer_id": F.col("o_custkey"),
             "seller_id": F.col("l_suppkey"),
             "order_date": F.col("o_orderdate").cast("timestamp"),
+            "category": F.col("category"),
         }
-        if category:
-            rows = rows.join(
-                self.scan("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left"
-            )
-            columns["category"] = F.col("p_type")
         methods = F.create_map(*[F.lit(x) for pair in PAYMENT_METHODS.items() for x in pair])
         columns |= self._money_columns()
         columns |= {
@@ -98,8 +99,8 @@ class StarSchemaTables:
         }
         return rows.select(*[c.alias(n) for n, c in columns.items()])
 
-    def orders(self, category: bool = False) -> DataFrame:
-        return enrich.enrich_orders(self.raw_orders(category))
+    def orders(self) -> DataFrame:
+        return enrich.enrich_orders(self.raw_orders())
 
     def raw_payments(self) -> DataFrame:
         """One payout per delivered order: expected and actual amount, and settlement day."""
@@ -134,13 +135,9 @@ class StarSchemaTables:
     def payments(self) -> DataFrame:
         return enrich.enrich_payments(enrich.derive_discrepancy(self.raw_payments()))
 
-    def _with_state(self, df: DataFrame, nation_key: str) -> DataFrame:
-        nation = self.scan("nation").select("n_nationkey", F.col("n_name").alias("state"))
-        return df.join(nation, F.col(nation_key) == F.col("n_nationkey"), "left")
-
     def sellers(self) -> DataFrame:
         key = F.col("s_suppkey")
-        return self._with_state(self.scan("supplier"), "s_nationkey").select(
+        return self._lookup(self.scan("supplier"), "s_nationkey", "nation", "n_nationkey", "n_name", "state").select(
             key.alias("seller_id"),
             F.col("s_name").alias("seller_name"),
             _pick(key % 6, CATEGORIES).alias("category"),
@@ -151,23 +148,12 @@ class StarSchemaTables:
             (F.col("s_acctbal") >= 0).cast("int").alias("is_active"),
         )
 
-    def seller_names(self) -> DataFrame:
-        """Sellers without the state lookup, for reports that do not show it."""
-        key = F.col("s_suppkey")
-        return self.scan("supplier").select(
-            key.alias("seller_id"),
-            F.col("s_name").alias("seller_name"),
-            _pick(key % 6, CATEGORIES).alias("category"),
-            _pick(key % 4, TIERS).alias("tier"),
-            (key % 16 + 5).cast("decimal(5,2)").alias("commission_pct"),
-        )
-
     def customers(self) -> DataFrame:
         key = F.col("c_custkey")
         registered = _days_after("1995-01-01", key % 2400).cast("timestamp") + F.make_dt_interval(
             hours=(key % 24).cast("int")
         )
-        return self._with_state(self.scan("customer"), "c_nationkey").select(
+        return self._lookup(self.scan("customer"), "c_nationkey", "nation", "n_nationkey", "n_name", "state").select(
             key.alias("customer_id"),
             "state",
             _pick(key % 5, AGE_GROUPS).alias("age_group"),
@@ -177,11 +163,6 @@ class StarSchemaTables:
             (key % 3 == 0).cast("int").alias("is_prime"),
         )
 
-    def customer_channels(self) -> DataFrame:
-        return self.scan("customer").select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("acquisition_channel")
-        )
-
     def sessions(self) -> DataFrame:
         event = F.col("event_id")
         return self.scan("events").select(
