@@ -48,7 +48,8 @@ def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFra
     """
     amount = F.col("discrepancy_amt")
     undated = F.lit("0001-01-01").cast("date")
-    magnitude = F.floor(F.log2(F.abs(amount.cast("double")) + 1) * 4) + 1
+    # Sixteen classes per doubling, so even a seller whose payouts are all short is spread.
+    magnitude = F.floor(F.log2(F.abs(amount.cast("double")) + 1) * 16) + 1
     rows = settled_orders(orders, payments, sellers).select(
         "order_id",
         "customer_id",
