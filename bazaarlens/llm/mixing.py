@@ -153,7 +153,7 @@ def mix(
     ).where(F.col("epoch") < passes)
     limit = F.least(F.col("b"), F.col("goal") - F.col("epoch") * F.col("source_size"))
     taken = pieces.join(slots, ["src", "block"], "left").withColumn("stop", limit)
-    took = F.col("stop") > F.col("a")
+    took = F.col("slot").isNotNull() & (F.col("stop") > F.col("a"))
     taken = taken.select(
         "doc_id", "row", "crc", "size", "source_size", "target",
         *[F.when(took, F.col(c)).alias(c) for c in ("slot", "epoch")],

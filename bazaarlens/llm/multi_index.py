@@ -40,7 +40,7 @@ def matrix(column) -> np.ndarray:
     """Doubles from an Arrow list column without nulls, one row per vector."""
     values = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     flat = np.asarray(values.flatten()).astype(np.float64)
-    return flat.reshape(len(values), -1)
+    return flat.reshape(len(values), len(flat) // max(1, len(values)))
 
 
 def fit_sample(vectors: DataFrame, key: str, vector: str, total: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
