@@ -103,14 +103,16 @@ def mix(
     Stream offsets come from sums per bucket of hashes plus a window inside the bucket;
     blocks and slots are joined on source and block, where each side has few rows.
     """
-    key = F.struct("doc_id", F.col("size"), F.col("crc"))
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    base = documents.select("doc_id", "source", words.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_count(text, F.lit(WORD)).cast("long")
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed or ''}"), text)
+    base = documents.select(
+        "doc_id", "source", words.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.md5(key.cast("binary")).alias("hash")
+    )
     if one_per_id:
-        least = base.groupBy("doc_id").agg(F.min(F.struct("crc", "size", "source")).alias("v"))
-        base = least.select("doc_id", "v.source", "v.size", "v.crc")
-    base = base.select("doc_id", "source", "size", "crc", F.monotonically_increasing_id().alias("row"))
-    base = staged(base.withColumn("hash", F.xxhash64(key, F.lit(seed))), "mix-documents")
+        least = base.groupBy("doc_id").agg(F.min(F.struct("crc", "size", "source", "hash")).alias("v"))
+        base = least.select("doc_id", "v.*")
+    base = staged(base.withColumn("row", F.monotonically_increasing_id()), "mix-documents")
     found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -127,7 +129,7 @@ def mix(
     docs = base.join(F.broadcast(catalogue), base["source"].eqNullSafe(catalogue["source"])).drop("source")
 
     buckets = max(1, max((r.n for r in found), default=1) // BUCKET_ROWS)
-    docs = docs.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    docs = docs.withColumn("bucket", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % buckets)
     sums = docs.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
