@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.components import connected_components
@@ -16,8 +16,13 @@ WORDS, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^24 > 0.999.
 BANDS, BAND_ROWS = 24, 6
 REGISTERS = BANDS * BAND_ROWS
+#: Two bits of each register are kept as a sketch. At similarity 0.8 a register's bits differ with
+#: probability 0.15, so more than MOST_DIFFERENT of 144 differ with probability below 0.00001.
+SKETCH_BITS, MOST_DIFFERENT = 2, 41
+WORD_BITS = 48
+SKETCH_WORDS = REGISTERS // WORD_BITS
 BYTES_AT_ONCE = 1 << 20
-SIGNATURES = "doc_id long, f1 long, f2 long, n int, bands array<long>"
+SIGNATURES = "doc_id long, f1 long, f2 long, n int, bands array<long>, sketch array<long>"
 
 _RNG = np.random.default_rng(20_240_607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,10 +111,34 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
     return winner.reshape(docs, REGISTERS)
 
 
+def sketches(registers: np.ndarray) -> np.ndarray:
+    """Bit planes of the registers, packed into words (docs x planes * words)."""
+    mixed = _mixed(registers).reshape(len(registers), 1, SKETCH_WORDS, WORD_BITS)
+    planes = (mixed >> np.arange(SKETCH_BITS, dtype=np.uint64)[None, :, None, None]) & np.uint64(1)
+    words = (planes << np.arange(WORD_BITS, dtype=np.uint64)).sum(3, dtype=np.uint64)
+    return words.reshape(len(registers), SKETCH_BITS * SKETCH_WORDS)
+
+
+def different_registers(x: str, y: str) -> Column:
+    """Registers whose sketch bits differ, from two sketch columns."""
+    total = F.lit(0)
+    for w in range(SKETCH_WORDS):
+        differ = None
+        for plane in range(SKETCH_BITS):
+            bits = F.col(x)[plane * SKETCH_WORDS + w].bitwiseXOR(F.col(y)[plane * SKETCH_WORDS + w])
+            differ = bits if differ is None else differ.bitwiseOR(bits)
+        total = total + F.bit_count(differ)
+    return total
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), _signed(rows.ravel()))
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of texts of bounded size together; a longer text is alone."""
     begin = size = 0
@@ -137,10 +166,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = (parts * _PLACE[:BAND_ROWS]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLACE[BAND_ROWS]
             first = np.cumsum(n[full]) - n[full]
             prints = [np.add.reduceat(_mixed(element + np.uint64(s)), first) for s in (1, 2)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS), _signed(_mixed(bands).ravel()))
+            lists = [_lists(_mixed(bands)), _lists(sketches(registers))]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(full + a)), _signed(prints[0]), _signed(prints[1]), pa.array(n[full], pa.int32()), lists],
-                names=["doc_id", "f1", "f2", "n", "bands"],
+                [ids.take(pa.array(full + a)), _signed(prints[0]), _signed(prints[1]), pa.array(n[full], pa.int32()), *lists],
+                names=["doc_id", "f1", "f2", "n", "bands", "sketch"],
             )
 
 
@@ -165,14 +194,18 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def _shingle_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, items`` for the documents of ``ids``. Texts are dealt out by id at every
+    size, without a switch to a broadcast of the ids."""
+    texts = documents.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    return staged(texts.dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, items binary"), "shingle-sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``a, b`` of ``pairs`` whose shingle sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "shingle-sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    met = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "x", "y")
     return staged(met.mapInArrow(_similar, "a long, b long"), "near-pairs")
 
 
@@ -191,20 +224,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
        the member with the most company over all its buckets, and each member is verified
        against the pivots of its buckets. A document that many others were edited from is
        the pivot of them all, so large groups of near copies link by stars.
-    3. Whatever members of a bucket are still in another component than its pivot are
-       verified against all members outside their component. After that every pair that
-       met in a bucket is either connected or has been verified: no candidate is lost.
+    3. Whatever members of a bucket are still in another component than its pivot meet all
+       members outside their component. Pairs whose sketches, two bits of each register,
+       differ more than a similar pair's do are dropped inside the join; the others are
+       verified. After that every pair that met in a bucket is connected, has been
+       verified, or is dissimilar by its sketches (wrongly so once in 100,000 pairs).
 
     Verification compares whole shingle sets. Copies of a class are joined by fingerprint
     at the end and are never expanded into pairs.
     """
     signed = staged(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_sign, SIGNATURES), "signatures")
-    least = signed.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("v"))
-    classes = staged(least.select("f1", "f2", F.col("v.doc_id").alias("rep"), "v.n", "v.bands"), "classes")
-    meets = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
+    least = signed.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("v"))
+    classes = staged(least.select("f1", "f2", F.col("v.doc_id").alias("rep"), "v.n", "v.bands", "v.sketch"), "classes")
+    meets = classes.select(F.explode("bands").alias("bucket"), "rep")
     sizes = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     meets = staged(meets.join(sizes, "bucket"), "buckets")
     company = meets.groupBy("rep").agg(F.sum("size").alias("company"))
+    company = staged(company, "company")
+    sets = _shingle_sets(documents, company.select(F.col("rep").alias("doc_id")))
     pivots = meets.join(company, "rep").groupBy("bucket").agg(
         F.max(F.struct("company", (-F.col("rep")).alias("order"))).alias("p")
     )
@@ -212,22 +249,30 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     ordered = [F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")]
     stars = meets.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).withColumnRenamed("pivot", "other")
     stars = staged(stars.select(*ordered).distinct(), "star-pairs")
-    links = _verified(documents, stars)
+    links = _verified(sets, stars)
 
     parts = staged(connected_components(links, "a", "b"), "components")
     part = F.coalesce("component", "rep")
-    members = meets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", part.alias("part"))
+    members = meets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", part.alias("part"))
     at_pivot = pivots.join(parts.withColumnRenamed("node", "pivot"), "pivot", "left")
     at_pivot = at_pivot.select("bucket", F.coalesce("component", "pivot").alias("main"))
     members = staged(members.join(at_pivot, "bucket"), "members")
-    outside = members.where(F.col("part") != F.col("main"))
-    others = members.select("bucket", F.col("rep").alias("other"), F.col("part").alias("other_part"), F.col("n").alias("other_n"))
+    away = F.col("part") != F.col("main")
+    split = members.where(away).select("bucket").distinct()
+    members = members.join(split, "bucket", "left_semi").join(classes.select("rep", "n", "sketch"), "rep")
+    members = staged(members, "split-buckets")
+    others = members.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "part", "main", "n", "sketch")])
+    others = others.withColumnRenamed("other_rep", "other")
+    both_away = (F.col("other_part") != F.col("other_main")) & (F.col("rep") > F.col("other"))
     fits = F.least("n", "other_n") >= SIMILARITY * F.greatest("n", "other_n")
-    pairs = outside.join(others, "bucket").where((F.col("part") != F.col("other_part")) & fits)
+    alike = different_registers("sketch", "other_sketch") <= MOST_DIFFERENT
+    apart = (F.col("part") != F.col("other_part")) & ~both_away
+    pairs = members.where(away).join(others, (members["bucket"] == others["bucket"]) & apart & fits & alike)
     pairs = pairs.select(*ordered).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(documents, staged(pairs, "more-pairs"))
+    more = _verified(sets, staged(pairs, "more-pairs"))
 
-    joined = connected_components(links.union(more), "a", "b").withColumnRenamed("node", "rep")
+    star = parts.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    joined = connected_components(star.union(more), "a", "b").withColumnRenamed("node", "rep")
     whole = signed.select("doc_id", "f1", "f2").distinct().join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
     whole = whole.join(joined, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     component = F.coalesce("component", "doc_id")
