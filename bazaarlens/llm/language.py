@@ -21,8 +21,8 @@ UNDETERMINED = "und"
 FIT_TEXTS, GRAM, MAX_GRAMS, SMOOTHING = 2_000, 3, 1 << 17, 0.5
 #: EM rounds; the largest set of languages tried; log-likelihood asked for each language more, in units of log(words).
 ROUNDS, MAX_SET, PENALTY = 12, 3, 2.0
-#: Words whose likelihoods a task remembers, and texts solved together.
-MEMORY_WORDS, TEXTS_AT_ONCE = 1 << 18, 256
+#: Words whose likelihoods a task remembers, and characters of texts solved together (a longer text alone).
+MEMORY_WORDS, CHARS_AT_ONCE = 1 << 18, 1 << 20
 PREDICTION = "lang_pred string, score double, langs array<string>, shares array<double>"
 
 
@@ -154,6 +154,20 @@ def _predict_texts(model: Model, texts: list[str | None], memory: dict[str, int]
     return out
 
 
+def _runs(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of bounded size together."""
+    run: list[str | None] = []
+    size = 0
+    for text in texts:
+        if run and size + len(text or "") > CHARS_AT_ONCE:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text or "") + 1
+    if run:
+        yield run
+
+
 def predictor(spark, model: Model):
     """A column function: struct ``lang_pred, score, langs, shares`` of a text column."""
     shared = spark.sparkContext.broadcast(model)
@@ -166,8 +180,7 @@ def predictor(spark, model: Model):
         names = ["lang_pred", "score", "langs", "shares"]
         for texts in batches:
             rows: list[tuple] = []
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
-                part = [t if isinstance(t, str) else None for t in texts.iloc[at : at + TEXTS_AT_ONCE]]
+            for part in _runs([t if isinstance(t, str) else None for t in texts]):
                 if len(memory) > MEMORY_WORDS:
                     memory, table = {}, [np.zeros((0, len(own.languages)))]
                 if own.languages:

@@ -13,7 +13,7 @@ from bazaarlens.llm.staging import staged
 WORD = r"[^\x20\x09-\x0D]+"
 PERIOD_BITS, GOLDEN = 31, 1327217885
 #: Sources are a catalogue that the driver reads; documents, blocks and slots are not.
-MAX_SOURCES = 100_000
+MAX_SOURCES = 10_000
 SLOT_CHUNK_BITS, BUCKET_ROWS = 14, 8192
 #: Golden-ratio points: an interval's count differs from its share by less than this (it grows with the log of the slots).
 SPREAD = 24
