@@ -2,66 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.numeric import with_totals
 
-SKETCH_ACCURACY = 100_000
-SKETCH_MARGIN = 5.0 / SKETCH_ACCURACY
-SMALL_INPUT = 200_000
+# A 63-bit range is narrowed to one value by three cuts into 2^21 buckets each.
+BUCKETS, PASSES = 1 << 21, 3
 
 
-def exact_quantile(df: DataFrame, value: str, p: float, out: str = "quantile") -> DataFrame:
-    """One row holding the linearly interpolated ``p`` quantile of ``value``.
+def _scaled(value: Column, digits: int) -> Column:
+    """A value with at most ``digits`` decimals as a whole number."""
+    return (value.cast(f"decimal(38,{max(digits, 8)})") * F.lit(10**digits)).cast("long")
 
-    ``percentile`` would keep every distinct value in a single buffer. Instead a sketch
-    brackets the wanted rank, one aggregation counts everything below the bracket and the
-    multiplicity of each value inside it, and only those few values (about
-    ``2 * SKETCH_MARGIN`` of the ranks) are put in order. The counts make the result
-    exact; a bracket that missed the rank raises instead of giving a near value. With few
-    rows one rank is wider than the margin, so there the bracket is everything.
+
+def _narrowed(counted: DataFrame, window: DataFrame) -> DataFrame:
+    """One row: the bucket of ``window`` that holds its rank, as the next window.
+
+    A window is a struct of its lowest value, the width of its buckets and the rank that
+    is sought in it. At most ``BUCKETS`` counts reach the task that adds them up.
     """
-    values = df.select(F.col(value).alias("v")).where(F.col("v").isNotNull())
-    bracketed = with_totals(
-        values,
-        values,
-        n=F.count("v"),
-        least=F.min("v"),
-        most=F.max("v"),
-        ends=F.percentile_approx("v", [max(0.0, p - SKETCH_MARGIN), min(1.0, p + SKETCH_MARGIN)], SKETCH_ACCURACY),
+    w = F.col("_w")
+    inside = counted.withColumn("_w", window.scalar()).where((F.col("v") >= w.low) & (F.col("v") - w.low < w.width * BUCKETS))
+    buckets = inside.groupBy("_w", F.expr("(v - _w.low) div _w.width").alias("bucket")).agg(F.sum("copies").alias("copies"))
+    through = F.sum("copies").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    reached = buckets.withColumn("through", through).where(F.col("through") > w.rank)
+    first = F.min(F.struct("bucket", "through", "copies", "_w"))
+    return reached.agg(first.alias("b")).select(
+        F.struct(
+            (F.col("b._w.low") + F.col("b.bucket") * F.col("b._w.width")).alias("low"),
+            F.expr(f"(b._w.width + {BUCKETS - 1}) div {BUCKETS}").alias("width"),
+            (F.col("b._w.rank") - F.col("b.through") + F.col("b.copies")).alias("rank"),
+        ).alias("w")
     )
-    small = F.col("_all.n") <= SMALL_INPUT
-    low = F.when(small, F.col("_all.least")).otherwise(F.col("_all.ends")[0])
-    high = F.when(small, F.col("_all.most")).otherwise(F.col("_all.ends")[1])
-    counted = (
-        bracketed.select("v", F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0).alias("side"))
-        .groupBy("side", F.when(F.col("side") == 0, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    # From here on there are only the values inside the bracket and two rows for the rest.
-    inside = Window.orderBy("side", "v")
-    ranked = counted.select(
-        "side",
-        "v",
-        F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("through"),
-        F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
-    ).withColumn("rank", F.lit(p) * (F.col("n") - 1).cast("double"))
-    reached = F.col("side") == 0
-    picked = ranked.agg(
-        F.min(F.when(reached & (F.col("through") > F.floor("rank")), F.col("v"))).cast("double").alias("lower"),
-        F.min(F.when(reached & (F.col("through") > F.ceil("rank")), F.col("v"))).cast("double").alias("upper"),
-        F.max(F.col("rank") - F.floor("rank")).alias("share"),
-        F.max(F.when(F.col("side") == -1, F.col("through") - 1 - F.floor("rank"))).alias("below_excess"),
-        F.count(F.lit(1)).alias("rows"),
+
+
+def exact_quantile(df: DataFrame, value: str, p: float, out: str = "quantile", digits: int = 2) -> DataFrame:
+    """One row holding the linearly interpolated ``p`` quantile of ``value``, which has at
+    most ``digits`` decimals.
+
+    ``percentile`` would keep every distinct value in a single buffer. Here copies of a
+    value are counted on the map side, and the rank is found by cutting the range of
+    values into a fixed number of buckets, three times: each pass counts per bucket and
+    goes on inside the bucket that holds the rank, until a bucket is one value. The same
+    passes run for any number of rows. The next value up comes from one more aggregate.
+    """
+    values = df.select(_scaled(F.col(value), digits).alias("v")).where(F.col("v").isNotNull())
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
+    n = F.sum("copies")
+    window = counted.agg(
+        F.struct(
+            F.min("v").alias("low"),
+            F.expr(f"(max(v) - min(v) + {BUCKETS}) div {BUCKETS}").alias("width"),
+            F.floor(F.lit(p) * (n - 1).cast("double")).alias("rank"),
+        ).alias("w")
     )
-    missed = (F.col("rows") > 0) & ((F.coalesce("below_excess", F.lit(-1)) >= 0) | F.col("upper").isNull())
-    interpolated = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("share")
-    return picked.select(
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed the rank")).cast("double"))
-        .otherwise(interpolated)
-        .alias(out)
+    for _ in range(PASSES):
+        window = _narrowed(counted, window)
+    found = counted.withColumn("_low", window.select("w.low").scalar())
+    above = F.col("v") > F.col("_low")
+    ends = found.agg(
+        F.max("_low").alias("lower"),
+        F.min(F.when(above, F.col("v"))).alias("next"),
+        F.sum(F.when(~above, F.col("copies"))).alias("through"),
+        (F.lit(p) * (n - 1).cast("double")).alias("rank"),
     )
+    unit = float(10**digits)
+    lower = F.col("lower") / unit
+    upper = F.when(F.col("through") > F.ceil("rank"), F.col("lower")).otherwise(F.col("next")) / unit
+    share = F.col("rank") - F.floor("rank")
+    return ends.select((lower + F.when(share > 0, (upper - lower) * share).otherwise(0.0)).alias(out))
 
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int, digits: int) -> DataFrame:
@@ -71,7 +81,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, digits: int) ->
     number an integer division and free of rounding at the edges. A constant column is
     spread over one unit centred on the value.
     """
-    scaled = df.select((F.col(value).cast("decimal(28,8)") * F.lit(10**digits)).cast("long").alias("v"))
+    scaled = df.select(_scaled(F.col(value), digits).alias("v"))
     scaled = scaled.where(F.col("v").isNotNull())
     limited = with_totals(scaled, scaled, low=F.min("v"), high=F.max("v")).select("v", "_all.low", "_all.high")
     position = F.expr(f"((v - low) * {bins}) div nullif(high - low, 0)")

@@ -118,7 +118,7 @@ def gmv_spikes(orders: DataFrame) -> DataFrame:
 def fraud_score_histogram(orders: DataFrame) -> DataFrame:
     """Forty equal bins of the fraud scores of flagged sellers, and their 0.95 quantile."""
     flagged = refund_anomalies(orders)
-    threshold = exact_quantile(flagged, "fraud_score", SCORE_QUANTILE).scalar()
+    threshold = exact_quantile(flagged, "fraud_score", SCORE_QUANTILE, digits=4).scalar()
     return equal_width_histogram(flagged, "fraud_score", HISTOGRAM_BINS, digits=4).withColumn("p95_score", threshold)
 
 

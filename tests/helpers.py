@@ -60,3 +60,7 @@ def sellers(spark: SparkSession, ids: list[str]) -> DataFrame:
 
 def by(df: DataFrame, key: str) -> dict:
     return {row[key]: row for row in df.collect()}
+
+
+def plan_of(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()

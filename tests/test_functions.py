@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import calendar, normal, numeric, ordered, quantiles
+from helpers import plan_of
 
 
 def test_normal_tail_matches_erfc(spark):
@@ -30,8 +31,8 @@ def test_normal_far_tail_and_null(spark):
 
 
 def test_rounding_is_half_up_on_the_decimal(spark):
-    df = spark.createDataFrame([(1.005,), (2.675,), (-0.125,), (None,)], "x double")
-    assert [r[0] for r in df.select(numeric.rounded(F.col("x"), 2)).collect()] == [1.01, 2.68, -0.13, None]
+    df = spark.createDataFrame([(1.005,), (2.675,), (-0.125,), (0.004999999999,), (None,)], "x double")
+    assert [r[0] for r in df.select(numeric.rounded(F.col("x"), 2)).collect()] == [1.01, 2.68, -0.13, 0.0, None]
 
 
 def test_ratio_of_zero_is_null(spark):
@@ -56,19 +57,30 @@ def test_three_week_numberings(spark):
         assert row.w == int(pd.Timestamp(row.d).strftime("%W"))
 
 
-@pytest.mark.parametrize("small_input", [0, 200_000])
-@pytest.mark.parametrize("p", [0.0, 0.5, 0.75, 0.8, 0.95, 1.0])
-def test_exact_quantile(spark, monkeypatch, small_input, p):
-    """With ``small_input`` 0 the sketch bracket is used, on enough rows for its margin."""
-    monkeypatch.setattr(quantiles, "SMALL_INPUT", small_input)
+@pytest.mark.parametrize("size", [10, 1000, 500_000])
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.8, 1.0])
+def test_exact_quantile(spark, size, p):
+    """Many ties, a long tail and negative values, by the same passes at every size."""
     rng = np.random.default_rng(7)
-    size = 120_000 if small_input == 0 else 1001
-    values = np.round(np.where(rng.random(size) < 0.4, 0.0, rng.lognormal(3, 2, size)), 2)
+    values = np.round(np.where(rng.random(size) < 0.4, 0.0, rng.lognormal(3, 2, size) - 20), 2)
     df = spark.createDataFrame(pd.DataFrame({"x": values})).withColumn("x", F.col("x").cast("decimal(18,2)"))
     got = quantiles.exact_quantile(df.repartition(4), "x", p).first()[0]
     assert got == pytest.approx(float(np.quantile(values, p)), abs=1e-9)
 
 
+def test_exact_quantile_over_a_range_that_needs_every_pass(spark):
+    values = [-(10**16), -3, 0, 1, 2, 5 * 10**15, 10**16]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    for p in (0.0, 0.3, 0.5, 0.9, 1.0):
+        got = quantiles.exact_quantile(df, "x", p, digits=0).first()[0]
+        assert got == pytest.approx(float(np.quantile(np.array(values, float), p)), rel=1e-12)
+
+
+def test_exact_quantile_keeps_no_sketch_and_no_size_switch(spark):
+    plan = plan_of(quantiles.exact_quantile(spark.range(100), "id", 0.5))
+    assert "percentile" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_exact_quantile_of_nothing_and_of_one(spark):
     assert quantiles.exact_quantile(spark.range(0), "id", 0.5).first()[0] is None
     assert quantiles.exact_quantile(spark.range(5, 6), "id", 0.5).first()[0] == 5.0
@@ -114,3 +126,14 @@ def test_chunked_windows_match_plain_ones_on_a_hot_key(spark):
     got = both.set_index("id").loc[expected["id"]]
     assert list(got["total"]) == list(expected["total"])
     assert list(got["n"]) == list(expected["n"])
+
+
+def test_chunked_windows_treat_null_keys_and_values_like_plain_ones(spark):
+    rows = [(None, 1, 10, 1), (None, 2, None, 2), (None, 2, 5, 3), ("a", 1, None, 4), ("a", 1, 7, 5), ("a", 3, None, 6), (None, 3, None, 7)]
+    df = spark.createDataFrame(rows, "k string, day int, v int, id int")
+    day, order = [F.col("day")], [F.col("day"), F.col("id")]
+    got = ordered.running_total(df, ["k"], ["day"], day, order, "v", "total")
+    got = ordered.row_number(got, ["k"], ["day"], day, order, "n").orderBy("id").collect()
+    assert [r.total for r in got] == [10, 10, 15, None, 7, 7, 15]
+    assert [r.n for r in got] == [1, 2, 3, 1, 2, 3, 4]
+    assert got[0].asDict().keys() == {"k", "day", "v", "id", "total", "n"}
