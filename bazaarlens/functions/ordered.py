@@ -6,7 +6,8 @@ map side, the few chunk rows of a key are accumulated, and the row-level window
 inside one chunk. The rows are shuffled once, by key and chunk, and the chunk offsets join
 on that same partitioning.
 
-Keys and chunk columns must not be NULL; callers replace NULL chunks first.
+NULL keys form one key, as in a plain window. Chunk columns must not be NULL; callers
+replace NULL chunks first.
 """
 
 from __future__ import annotations
@@ -17,6 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _filled(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_key0, _none0, ...``: the keys without NULL, and whether each was NULL. They
+    serve windows and the join alike, so a NULL key is a key like any other and both use
+    one partitioning."""
+    kinds = dict(df.dtypes)
+    columns = {}
+    for i, key in enumerate(keys):
+        columns[f"_key{i}"] = F.coalesce(F.col(key), F.lit("0").cast(kinds[key]))
+        columns[f"_none{i}"] = F.col(key).isNull()
+    return df.withColumns(columns)
+
+
 def _with_offset(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,19 +41,23 @@ def _with_offset(
     out: str,
     base: DataFrame | None,
 ) -> DataFrame:
-    earlier = Window.partitionBy(*keys).orderBy(*chunk_order).rowsBetween(Window.unboundedPreceding, -1)
+    own = [f"_{kind}{i}" for i in range(len(keys)) for kind in ("key", "none")]
+    earlier = Window.partitionBy(*own).orderBy(*chunk_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        (df if base is None else base)
-        .groupBy(*keys, *chunk)
+        _filled(df if base is None else base, keys)
+        .groupBy(*own, *chunk)
         .agg(total.alias("_chunk_total"))
-        .select(*keys, *chunk, F.coalesce(F.sum("_chunk_total").over(earlier), F.lit(0)).alias("_offset"))
+        .select(*own, *chunk, F.sum("_chunk_total").over(earlier).alias("_offset"))
     )
-    inside = Window.partitionBy(*keys, *chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*own, *chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # NULL only as long as there was no value, neither in this chunk nor before it.
+    both = F.coalesce(F.col(out) + F.col("_offset"), F.col(out), F.col("_offset"))
     return (
-        df.withColumn(out, within.over(inside))
-        .join(offsets, [*keys, *chunk])
-        .withColumn(out, F.col(out) + F.col("_offset"))
-        .drop("_offset")
+        _filled(df, keys)
+        .withColumn(out, within.over(inside))
+        .join(offsets, [*own, *chunk])
+        .withColumn(out, both)
+        .drop("_offset", *own)
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import ordered
-from bazaarlens.functions.numeric import mean, percent, ratio, rounded
+from bazaarlens.functions.numeric import percent, ratio, rounded
 
 # Labels of the report.
 SCALE_UP = "SCALE UP — High LTV + Strong Acquisition"
@@ -15,24 +15,43 @@ DISCOUNT = "REVIEW — High Discount Dependency"
 MONITOR = "MONITOR"
 
 
-def channel_revenue(orders: DataFrame) -> DataFrame:
-    """Last-touch revenue per channel. The share window runs over one row per channel."""
+def _history(orders: DataFrame) -> DataFrame:
+    """Measures ``m`` per customer and channel over delivered orders. They are one struct,
+    which no use prunes, so reports that need several figures aggregate the orders once."""
+    measures = F.struct(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("order_id").alias("orders"),
+        F.sum("gmv").alias("gmv"),
+        F.count("gmv").alias("valued"),
+        F.sum("net_revenue").alias("revenue"),
+        F.count("net_revenue").alias("priced"),
+        F.sum("discount_amount").alias("discount"),
+        F.min(F.struct("order_date", "order_id")).alias("first_here"),
+    )
+    return orders.where("is_delivered = 1").groupBy("customer_id", "channel").agg(measures.alias("m"))
+
+
+def _revenue(history: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     return (
-        orders.where("is_delivered = 1")
-        .groupBy("channel")
+        history.groupBy("channel")
         .agg(
-            F.count("order_id").alias("total_orders"),
-            F.sum("gmv").alias("total_gmv"),
-            F.sum("net_revenue").alias("net_revenue"),
-            mean(F.col("gmv")).alias("avg_order_value"),
-            F.sum("discount_amount").alias("total_discount"),
+            F.sum("m.orders").alias("total_orders"),
+            F.sum("m.gmv").alias("total_gmv"),
+            F.sum("m.revenue").alias("net_revenue"),
+            ratio(F.sum("m.gmv"), F.sum("m.valued")).alias("avg_order_value"),
+            F.sum("m.discount").alias("total_discount"),
         )
         .withColumn("avg_discount_rate_pct", percent(F.col("total_discount"), F.col("total_gmv")))
         .withColumn("revenue_share_pct", percent(F.col("net_revenue"), F.sum("net_revenue").over(everything)))
     )
 
 
+def channel_revenue(orders: DataFrame) -> DataFrame:
+    """Last-touch revenue per channel. The share window runs over one row per channel."""
+    return _revenue(_history(orders))
+
+
 def monthly_channel_trend(orders: DataFrame) -> DataFrame:
     """Monthly revenue per channel, growth over the previous month with sales, and the
     mean of the last three such months."""
@@ -60,10 +79,12 @@ def acquisition_ltv(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Lifetime revenue of the customers each channel brought, customers without orders
     included. Orders are summed per customer before the join, so the join carries one row
     per customer and no customer is hot in it."""
-    spent = (
-        orders.where("is_delivered = 1")
-        .groupBy("customer_id")
-        .agg(F.count("order_id").alias("orders"), F.sum("net_revenue").alias("revenue"), F.count("net_revenue").alias("priced"))
+    return _lifetime_value(customers, _history(orders))
+
+
+def _lifetime_value(customers: DataFrame, history: DataFrame) -> DataFrame:
+    spent = history.groupBy("customer_id").agg(
+        F.sum("m.orders").alias("orders"), F.sum("m.revenue").alias("revenue"), F.sum("m.priced").alias("priced")
     )
     # A customer row that occurs more than once in a channel counts its orders as often.
     held = customers.groupBy("customer_id", "acquisition_channel").agg(F.count(F.lit(1)).alias("copies"))
@@ -113,18 +134,20 @@ def new_vs_returning(orders: DataFrame) -> DataFrame:
     through it, and all its customers; one customer can be in both groups.
 
     Orders collapse to one row per customer and channel on the map side, so the three
-    distinct counts become plain sums and the window sees one row per channel.
+    distinct counts become plain sums and the window sees one row per channel. Orders
+    without a customer count for none of them, but their channel keeps its row.
     """
-    history = (
-        orders.where("is_delivered = 1")
-        .groupBy("customer_id", "channel")
-        .agg(F.count(F.lit(1)).alias("orders"), F.min(F.struct("order_date", "order_id")).alias("first_here"))
-    )
+    return _customer_mix(_history(orders))
+
+
+def _customer_mix(history: DataFrame) -> DataFrame:
+    history = history.select("customer_id", "channel", F.col("m.rows").alias("orders"), F.col("m.first_here").alias("first_here"))
     first = F.min("first_here").over(Window.partitionBy("customer_id"))
-    starts = (F.col("first_here") == F.col("first_ever")).cast("int")
+    known = F.col("customer_id").isNotNull()
+    starts = (known & (F.col("first_here") == F.col("first_ever"))).cast("int")
     return (
         history.withColumn("first_ever", first)
-        .select("channel", "customer_id", starts.alias("starts"), (F.col("orders") > starts).cast("int").alias("returns"))
+        .select("channel", "customer_id", starts.alias("starts"), (known & (F.col("orders") > starts)).cast("int").alias("returns"))
         .groupBy("channel")
         .agg(
             F.sum("starts").alias("new_customers"),
@@ -136,9 +159,11 @@ def new_vs_returning(orders: DataFrame) -> DataFrame:
 
 
 def channel_scorecard(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Revenue, customer value and customer mix per channel, with a strategic signal."""
-    value = acquisition_ltv(customers, orders).withColumnRenamed("acquisition_channel", "channel")
-    mix = new_vs_returning(orders)
+    """Revenue, customer value and customer mix per channel, with a strategic signal. All
+    three come from one aggregate of the orders."""
+    history = _history(orders)
+    value = _lifetime_value(customers, history).withColumnRenamed("acquisition_channel", "channel")
+    mix = _customer_mix(history)
     rank, new = F.col("ltv_rank"), F.col("new_customer_pct")
     signal = (
         F.when((rank <= 2) & (new > 40), SCALE_UP)
@@ -147,7 +172,7 @@ def channel_scorecard(orders: DataFrame, customers: DataFrame) -> DataFrame:
         .otherwise(MONITOR)
     )
     return (
-        channel_revenue(orders)
+        _revenue(history)
         .join(value, "channel", "left")
         .join(mix, "channel", "left")
         .select(

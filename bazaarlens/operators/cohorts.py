@@ -14,7 +14,8 @@ MIN_OBSERVED_MONTHS = 6
 
 
 def _delivered_months(orders: DataFrame) -> DataFrame:
-    return orders.where("is_delivered = 1").withColumn("_month", calendar.month_index(F.col("order_date")))
+    """Delivered orders of known customers; one without a customer belongs to no cohort."""
+    return orders.where("is_delivered = 1 AND customer_id IS NOT NULL").withColumn("_month", calendar.month_index(F.col("order_date")))
 
 
 def cohort_activity(orders: DataFrame) -> DataFrame:

@@ -163,3 +163,30 @@ def test_cohort_report(spark):
     assert (row.avg_m1_retention_pct, row.best_m1_cohort, row.worst_m1_cohort) == (75.0, "2023-02", "2023-01")
     assert row.avg_m3_retention_pct is None and row.avg_m6_retention_pct == 100.0
     assert row.avg_6m_ltv == 225.0
+
+
+@pytest.fixture(scope="module")
+def unknown_customers(spark):
+    rows = [
+        {"order_id": "O1", "customer_id": "C1", "order_date": "2024-01-05 10:00:00", "gmv": 100},
+        {"order_id": "O2", "customer_id": None, "order_date": "2024-01-06 10:00:00", "gmv": 1200},
+        {"order_id": "O3", "customer_id": None, "order_date": "2024-02-06 10:00:00", "gmv": 500},
+        {"order_id": "O4", "customer_id": "C1", "order_date": "2024-02-07 10:00:00", "gmv": 40},
+    ]
+    named = orders(spark, [{**r, "customer_id": r["customer_id"] or "nobody"} for r in rows])
+    return enrich.enrich_orders(named.withColumn("customer_id", F.expr("nullif(customer_id, 'nobody')")))
+
+
+def test_order_sequence_numbers_orders_without_a_customer(unknown_customers):
+    rows = by(attribution.order_sequence(unknown_customers), "order_id")
+    assert {k: r.order_seq for k, r in rows.items()} == {"O1": 1, "O2": 1, "O3": 2, "O4": 2}
+
+
+def test_unknown_customers_count_for_no_customer_figure(unknown_customers):
+    (mix,) = attribution.new_vs_returning(unknown_customers).collect()
+    assert (mix.new_customers, mix.returning_customers, mix.total_unique_customers, mix.new_customer_pct) == (1, 1, 1, 100.0)
+    (value,) = cohorts.cohort_ltv_matrix(unknown_customers).collect()
+    known = unknown_customers.where("customer_id IS NOT NULL")
+    assert value == cohorts.cohort_ltv_matrix(known).first()
+    for report in (cohorts.cohort_active_users, cohorts.cohort_retention_matrix, cohorts.cohort_ltv_observed, cohorts.cohort_report, cohorts.cohort_activity):
+        assert report(unknown_customers).collect() == report(known).collect()
