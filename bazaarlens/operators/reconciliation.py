@@ -25,60 +25,30 @@ def _disputed() -> Column:
     return F.col("discrepancy_flag") == 1
 
 
-def settled_orders(orders: DataFrame, payments: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Delivered orders with their payout and seller.
-
-    Both large inputs shuffle once on the unique order id, which cannot be skewed. The
-    seller join is left to AQE: broadcast when small, skew-split sort-merge otherwise.
-    """
-    delivered = orders.where("is_delivered = 1")
+def _paid_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """Delivered orders with their payout. Both inputs shuffle once on the unique order id,
+    which cannot be skewed. Reports per seller aggregate this before they join sellers."""
     paid = payments.drop("seller_id").withColumnRenamed("status", "payment_status")
-    named = sellers.withColumnRenamed("tier", "seller_tier").drop("category", "state")
-    return delivered.join(paid, "order_id").join(named, "seller_id")
+    return orders.where("is_delivered = 1").join(paid, "order_id")
 
 
-def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFrame) -> DataFrame:
-    """One row per settled order, with the seller's running shortfall, the settlement delay
-    and the rank of the shortfall among the seller's payouts.
-
-    Running total: by settlement date, then payment id. Rank: by shortfall from high to
-    low, then settlement date and payment id. Both orders are cut into chunks (settlement
-    days; magnitude classes of the shortfall, and days among the many zero shortfalls), so
-    that a seller with a large share of all payouts is spread over many tasks.
-    """
+def _seller_positions(paid: DataFrame) -> DataFrame:
+    """Running shortfall and rank of each payout within its seller, on narrow rows."""
     amount = F.col("discrepancy_amt")
     undated = F.lit("0001-01-01").cast("date")
     # Sixteen classes per doubling, so even a seller whose payouts are all short is spread.
     magnitude = F.floor(F.log2(F.abs(amount.cast("double")) + 1) * 16) + 1
-    rows = settled_orders(orders, payments, sellers).select(
+    signed = F.signum(amount.cast("double")) * F.when(amount == 0, 0).otherwise(magnitude)
+    rows = paid.select(
         "order_id",
-        "customer_id",
-        "seller_id",
-        "seller_name",
-        "seller_tier",
-        "commission_pct",
-        "order_date",
-        "gmv",
-        "net_revenue",
-        "category",
-        "channel",
         "payment_id",
-        "expected_payout",
-        "actual_payout",
-        "discrepancy_amt",
-        "discrepancy_pct",
-        "discrepancy_flag",
+        "seller_id",
         "settlement_date",
-        "settlement_cycle",
-        "payment_status",
-        "discrepancy_severity",
-        calendar.days_between(F.col("settlement_date"), F.col("order_date")).alias("settlement_delay_days"),
+        "discrepancy_amt",
         F.coalesce(F.col("settlement_date").cast("date"), undated).alias("_day"),
-        F.coalesce(
-            (F.signum(amount.cast("double")) * F.when(amount == 0, 0).otherwise(magnitude)).cast("int"), F.lit(-(10**6))
-        ).alias("_class"),
+        F.coalesce(signed.cast("int"), F.lit(-(10**6))).alias("_class"),
     ).withColumn("_zero_day", F.when(F.col("_class") == 0, F.col("_day")).otherwise(undated))
-    trail = ordered.running_total(
+    placed = ordered.running_total(
         rows,
         keys=["seller_id"],
         chunk=["_day"],
@@ -87,8 +57,8 @@ def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFra
         value="discrepancy_amt",
         out="cumulative_discrepancy_by_seller",
     )
-    trail = ordered.row_number(
-        trail,
+    placed = ordered.row_number(
+        placed,
         keys=["seller_id"],
         chunk=["_class", "_zero_day"],
         chunk_order=[F.desc("_class"), F.asc("_zero_day")],
@@ -96,29 +66,82 @@ def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFra
         out="rank_within_seller",
         base=rows,
     )
-    return trail.drop("_day", "_class", "_zero_day")
+    return placed.select(
+        F.col("order_id").alias("_order"),
+        F.col("payment_id").alias("_payment"),
+        "cumulative_discrepancy_by_seller",
+        "rank_within_seller",
+    )
+
+
+def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFrame) -> DataFrame:
+    """One row per settled order, with the seller's running shortfall, the settlement delay
+    and the rank of the shortfall among the seller's payouts.
+
+    Running total: by settlement date, then payment id. Rank: by shortfall from high to
+    low, then settlement date and payment id. Both are computed on narrow rows and joined
+    back on the order id, by which the wide rows are partitioned already. Their orders are
+    cut into chunks (settlement days; magnitude classes of the shortfall, and days among
+    the many zero shortfalls), so that a seller with a large share of all payouts is spread
+    over many tasks; payouts of one seller and day, or with one non-zero shortfall, are not.
+    """
+    paid = _paid_orders(orders, payments)
+    named = sellers.select("seller_id", "seller_name", F.col("tier").alias("seller_tier"), "commission_pct")
+    # The order id alone is the join key; an order with several payouts matches by the range.
+    payment, same = F.col("payment_id"), F.col("_payment")
+    placed = (F.col("order_id") == F.col("_order")) & (payment >= same) & (payment <= same)
+    return (
+        paid.join(_seller_positions(paid), placed)
+        .join(named, "seller_id")
+        .select(
+            "order_id",
+            "customer_id",
+            "seller_id",
+            "seller_name",
+            "seller_tier",
+            "commission_pct",
+            "order_date",
+            "gmv",
+            "net_revenue",
+            "category",
+            "channel",
+            "payment_id",
+            "expected_payout",
+            "actual_payout",
+            "discrepancy_amt",
+            "discrepancy_pct",
+            "discrepancy_flag",
+            "settlement_date",
+            "settlement_cycle",
+            "payment_status",
+            "discrepancy_severity",
+            calendar.days_between(F.col("settlement_date"), F.col("order_date")).alias("settlement_delay_days"),
+            "cumulative_discrepancy_by_seller",
+            "rank_within_seller",
+        )
+    )
 
 
 def top_discrepancies_per_seller(
     orders: DataFrame, payments: DataFrame, sellers: DataFrame, n: int
 ) -> DataFrame:
-    """The ``n`` largest shortfalls of each seller; every map task keeps ``n`` rows per seller."""
+    """The ``n`` largest shortfalls of each seller; every map task keeps ``n`` rows per seller,
+    and only those meet the seller table."""
     order = Window.partitionBy("seller_id").orderBy(F.desc("discrepancy_amt"), "settlement_date", "payment_id")
     return (
-        settled_orders(orders, payments, sellers)
+        _paid_orders(orders, payments)
         .withColumn("rank_within_seller", F.row_number().over(order))
         .where(F.col("rank_within_seller") <= n)
+        .join(sellers.select("seller_id", "seller_name"), "seller_id")
         .select("seller_id", "seller_name", "rank_within_seller", "payment_id", "order_id", "discrepancy_amt", "discrepancy_pct")
     )
 
 
-def _seller_month_disputes(settled: DataFrame) -> DataFrame:
+def _seller_month_disputes(paid: DataFrame) -> DataFrame:
     """Seller totals per settlement month. The two-level aggregate spreads a large seller
     over its months and makes the distinct month count a plain sum."""
     shortfall = F.when(_disputed(), F.col("discrepancy_amt"))
-    return settled.groupBy(
-        "seller_id", "seller_name", "seller_tier", F.trunc("settlement_date", "month").alias("month")
-    ).agg(
+    return paid.groupBy("seller_id", F.trunc("settlement_date", "month").alias("month")).agg(
         F.count(F.lit(1)).alias("payments"),
         F.sum("discrepancy_flag").alias("disputes"),
         F.sum(shortfall).alias("shortfall"),
@@ -137,10 +160,11 @@ def _seller_summary(orders: DataFrame, payments: DataFrame, sellers: DataFrame)
         F.sum(F.when(_disputed(), F.col("discrepancy_amt")).otherwise(0)).alias("total")
     )
     threshold = exact_quantile(totals, "total", AUDIT_QUANTILE).scalar()
-    by_month = _seller_month_disputes(settled_orders(orders, payments, sellers))
+    by_month = _seller_month_disputes(_paid_orders(orders, payments))
+    named = sellers.select("seller_id", "seller_name", F.col("tier").alias("seller_tier"))
     rate = percent(F.sum("disputes"), F.sum("payments"))
     return (
-        by_month.groupBy("seller_id", "seller_name", "seller_tier")
+        by_month.groupBy("seller_id")
         .agg(
             F.sum("payments").alias("total_payments"),
             F.sum("disputes").alias("disputed_count"),
@@ -154,6 +178,7 @@ def _seller_summary(orders: DataFrame, payments: DataFrame, sellers: DataFrame)
             F.max("latest_dispute").alias("last_dispute"),
             F.count_if((F.col("disputes") > 0) & F.col("month").isNotNull()).alias("months_with_disputes"),
         )
+        .join(named, "seller_id")
         .withColumn(
             "audit_status",
             F.when(F.col("total_discrepancy_amt").cast("double") > threshold, MANDATORY)
@@ -172,12 +197,23 @@ def seller_discrepancy_summary(orders: DataFrame, payments: DataFrame, sellers:
     return _seller_summary(orders, payments, sellers).drop("first_dispute", "last_dispute")
 
 
-def _cycle_totals(settled: DataFrame, *keys: Column) -> DataFrame:
-    return settled.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_payments"),
-        F.sum("discrepancy_flag").alias("disputed_in_cycle"),
-        percent(F.sum("discrepancy_flag"), F.count(F.lit(1))).alias("dispute_rate_pct"),
-        F.sum(F.when(_disputed(), F.col("discrepancy_amt")).otherwise(0)).alias("total_disc_amt"),
+def _cycle_totals(paid: DataFrame, sellers: DataFrame, *keys: Column) -> DataFrame:
+    """Totals per cycle over payouts of known sellers, summed per seller before the seller join."""
+    cycle = [f"_cycle{i}" for i in range(len(keys))]
+    per_seller = paid.groupBy("seller_id", *[k.alias(c) for k, c in zip(keys, cycle)]).agg(
+        F.count(F.lit(1)).alias("payments"),
+        F.sum("discrepancy_flag").alias("disputes"),
+        F.sum(F.when(_disputed(), F.col("discrepancy_amt")).otherwise(0)).alias("amt"),
+    )
+    return (
+        per_seller.join(sellers.select("seller_id"), "seller_id")
+        .groupBy(*cycle)
+        .agg(
+            F.sum("payments").alias("total_payments"),
+            F.sum("disputes").alias("disputed_in_cycle"),
+            percent(F.sum("disputes"), F.sum("payments")).alias("dispute_rate_pct"),
+            F.sum("amt").cast("decimal(28,2)").alias("total_disc_amt"),
+        )
     )
 
 
@@ -189,7 +225,8 @@ def _rate_change(order: list[str]) -> Column:
 
 def settlement_cycle_anomalies(orders: DataFrame, payments: DataFrame, sellers: DataFrame) -> DataFrame:
     """Dispute rate per cycle label and its change; labels sort as text and pool all years."""
-    totals = _cycle_totals(settled_orders(orders, payments, sellers), F.col("settlement_cycle"))
+    totals = _cycle_totals(_paid_orders(orders, payments), sellers, F.col("settlement_cycle"))
+    totals = totals.withColumnRenamed("_cycle0", "settlement_cycle")
     return totals.withColumn("dispute_rate_wow_change", _rate_change(["settlement_cycle"]))
 
 
@@ -197,10 +234,8 @@ def settlement_cycle_anomalies_chrono(orders: DataFrame, payments: DataFrame, se
     """The same per ISO year and week, in time order."""
     day = F.col("settlement_date")
     totals = _cycle_totals(
-        settled_orders(orders, payments, sellers),
-        calendar.iso_year(day).alias("settlement_year"),
-        calendar.iso_week(day).alias("settlement_week"),
-    )
+        _paid_orders(orders, payments), sellers, calendar.iso_year(day), calendar.iso_week(day)
+    ).withColumnsRenamed({"_cycle0": "settlement_year", "_cycle1": "settlement_week"})
     return totals.withColumn("dispute_rate_wow_change", _rate_change(["settlement_year", "settlement_week"]))
 
 
@@ -208,7 +243,7 @@ def dispute_timeline(orders: DataFrame, payments: DataFrame, sellers: DataFrame)
     """First and last dispute of each seller that has one. Payment ids are unique after the
     load, so counting disputed rows counts distinct payments."""
     return (
-        settled_orders(orders, payments, sellers)
+        _paid_orders(orders, payments)
         .where(_disputed())
         .groupBy("seller_id")
         .agg(
@@ -217,6 +252,7 @@ def dispute_timeline(orders: DataFrame, payments: DataFrame, sellers: DataFrame)
             calendar.days_between(F.max("settlement_date"), F.min("settlement_date")).alias("dispute_span_days"),
             F.count("payment_id").alias("dispute_events"),
         )
+        .join(sellers.select("seller_id"), "seller_id")
     )
 
 
