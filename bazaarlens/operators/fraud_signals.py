@@ -106,8 +106,8 @@ def return_anomaly(orders: DataFrame, as_of: str, days: int = RETURN_DAYS) -> Da
     )
 
 
-def _half_days(orders: DataFrame) -> DataFrame:
-    slot = F.floor(F.unix_micros("order_date") / F.lit(float(REPEAT_HOURS * calendar.HOUR_MICROS)))
+def _slotted(orders: DataFrame, hours: int) -> DataFrame:
+    slot = F.floor(F.unix_micros("order_date") / F.lit(float(hours * calendar.HOUR_MICROS)))
     return orders.withColumn("_slot", slot.cast("long"))
 
 
@@ -115,11 +115,12 @@ def rapid_repeat_orders(orders: DataFrame) -> DataFrame:
     """Pairs of orders of one customer at one seller, the second later by under 12 hours and
     the first worth more than 5000.
 
-    Time is cut into 12-hour slots; a repeat lies in the slot of the first order or the next
-    one, so the range becomes an equality on seller, customer and slot plus a residual. Only
-    the valuable first orders are looked up twice, and a busy pair is spread over its slots.
+    Time is cut into one-hour slots; a repeat lies in the slot of the first order or one of
+    the next twelve, so the range becomes an equality on seller, customer and slot plus a
+    residual. Only the valuable first orders are looked up thirteen times; a busy pair is
+    spread over its hours, and only the first and last slot form pairs that are dropped.
     """
-    slotted = _half_days(orders)
+    slotted = _slotted(orders, 1)
     first = (
         slotted.where(F.col("gmv") > REPEAT_MIN_GMV)
         .select(
@@ -128,7 +129,7 @@ def rapid_repeat_orders(orders: DataFrame) -> DataFrame:
             F.col("order_id").alias("first_order_id"),
             F.col("order_date").alias("first_order_time"),
             F.col("gmv").alias("first_gmv"),
-            F.explode(F.array("_slot", F.col("_slot") + 1)).alias("_slot"),
+            F.explode(F.sequence(F.col("_slot"), F.col("_slot") + REPEAT_HOURS)).alias("_slot"),
         )
     )
     second = slotted.select(
@@ -164,7 +165,7 @@ def rapid_repeat_counts(orders: DataFrame) -> DataFrame:
     a later order, or the first order of the next slot is near enough. Both come from the
     first and last order time per slot. Order ids must be unique.
     """
-    slotted = _half_days(orders)
+    slotted = _slotted(orders, REPEAT_HOURS)
     slots = slotted.groupBy("seller_id", "customer_id", "_slot").agg(
         F.max("order_date").alias("last_here"), F.min("order_date").alias("first_here")
     )

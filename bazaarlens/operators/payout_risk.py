@@ -44,21 +44,20 @@ def seller_audit_list(payments: DataFrame, sellers: DataFrame) -> DataFrame:
     """Dispute totals per seller; the upper fifth of the totals must be audited.
 
     Aggregates are rounded before the threshold is taken, and the threshold is inclusive.
+    The totals are one struct, which no use prunes, so the list and the threshold share
+    one aggregation.
     """
-    totals = (
-        disputed_payments(payments)
-        .groupBy("seller_id")
-        .agg(
-            F.count("payment_id").alias("disputed_count"),
-            F.sum("discrepancy_amt").alias("total_discrepancy"),
-            rounded(mean(F.col("discrepancy_pct")), 2).alias("avg_discrepancy_pct"),
-            rounded(F.max("risk_score"), 2).alias("max_risk_score"),
-        )
+    measures = F.struct(
+        F.count("payment_id").alias("disputed_count"),
+        F.sum("discrepancy_amt").alias("total_discrepancy"),
+        rounded(mean(F.col("discrepancy_pct")), 2).alias("avg_discrepancy_pct"),
+        rounded(F.max("risk_score"), 2).alias("max_risk_score"),
     )
-    sums = payments.where("discrepancy_flag = 1").groupBy("seller_id").agg(F.sum("discrepancy_amt").alias("total"))
-    threshold = exact_quantile(sums, "total", AUDIT_QUANTILE).scalar()
+    totals = disputed_payments(payments).groupBy("seller_id").agg(measures.alias("m"))
+    threshold = exact_quantile(totals, "m.total_discrepancy", AUDIT_QUANTILE).scalar()
     return (
-        totals.join(sellers.select("seller_id", "seller_name", "category", "tier"), "seller_id", "left")
+        totals.select("seller_id", "m.*")
+        .join(sellers.select("seller_id", "seller_name", "category", "tier"), "seller_id", "left")
         .withColumn("audit_required", F.col("total_discrepancy").cast("double") >= threshold)
         .orderBy(F.desc("total_discrepancy"), "seller_id")
     )
