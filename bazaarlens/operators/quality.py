@@ -56,6 +56,13 @@ def null_audit(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     )
 
 
+def unreadable_audit(df: DataFrame, columns: Sequence[str], unreadable: str, name: str) -> DataFrame:
+    """Values per column that could not be converted when the extract was read."""
+    tests = {c: F.array_contains(unreadable, c) for c in columns}
+    counted = _counts_by_label(df, tests, "column_name", "unreadable_count")
+    return counted.select(F.lit(name).alias("table_name"), "column_name", "unreadable_count")
+
+
 def _counts_by_label(df: DataFrame, tests: Mapping[str, Column], label: str, out: str) -> DataFrame:
     names = list(tests)
     counted = df.agg(*[F.count_if(tests[n]).alias(f"n{i}") for i, n in enumerate(names)])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlens.operators import enrich, quality, summaries
 from bazaarlens.sources import sinks
+from bazaarlens.sources.readers import UNREADABLE
 
 # Key, month column and clustering of each clean table.
 KEYS = {"orders": "order_id", "payments": "payment_id", "customers": "customer_id", "sellers": "seller_id"}
@@ -45,24 +46,44 @@ def audits(clean: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return reports
 
 
-def run_load(spark: SparkSession, raw: Mapping[str, DataFrame], folder: str, as_of: str) -> dict[str, str]:
-    """Writes clean tables and summaries below ``folder`` and returns their paths.
+def raw_audits(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Duplicate keys of each extract, and values that could not be read where the reader
+    kept track of them."""
+    reports = {f"{name}_duplicates": quality.duplicate_audit(raw[name], [key], name) for name, key in KEYS.items()}
+    for name, df in raw.items():
+        if UNREADABLE in df.columns:
+            columns = [c for c in df.columns if c != UNREADABLE]
+            reports[f"{name}_unreadable"] = quality.unreadable_audit(df, columns, UNREADABLE, name)
+    return reports
+
+
+def run_load(
+    spark: SparkSession, raw: Mapping[str, DataFrame], folder: str, as_of: str, database: str | None = None
+) -> tuple[dict[str, str], dict[str, DataFrame]]:
+    """Writes clean tables and summaries below ``folder``; returns their paths and the audits.
 
-    The summaries read the written tables. That computes the load once without holding it
-    in executor memory, and a lost executor costs only its running tasks.
+    With ``database`` every clean table and summary also becomes a catalog table there.
+    The summaries and the audits of clean tables read the written tables. That computes the
+    load once without holding it in executor memory, and a lost executor costs only its
+    running tasks.
     """
-    paths = {}
-    for name, df in clean_tables(raw, as_of).items():
+    paths, written = {}, {}
+    gates = raw_audits(raw)
+    for name, df in clean_tables({n: d.drop(UNREADABLE) for n, d in raw.items()}, as_of).items():
         paths[f"{name}_clean"] = f"{folder}/{name}_clean"
         sinks.write_clean(df, paths[f"{name}_clean"], MONTH_OF.get(name), CLUSTER_BY.get(name, ()))
-    orders = spark.read.parquet(paths["orders_clean"])
-    payments = spark.read.parquet(paths["payments_clean"])
+        written[name] = spark.read.parquet(paths[f"{name}_clean"])
+    gates |= audits(written)
     reports = {
-        "monthly_revenue_summary": summaries.monthly_revenue_summary(orders),
-        "seller_performance": summaries.seller_performance(orders),
-        "discrepancy_summary": summaries.discrepancy_summary(payments),
+        "monthly_revenue_summary": summaries.monthly_revenue_summary(written["orders"]),
+        "seller_performance": summaries.seller_performance(written["orders"]),
+        "discrepancy_summary": summaries.discrepancy_summary(written["payments"]),
     }
     for name, df in reports.items():
         paths[name] = f"{folder}/{name}"
         sinks.write_csv(df, paths[name])
-    return paths
+    if database:
+        tables = {f"{name}_clean": df for name, df in written.items()} | reports
+        for name, df in tables.items():
+            sinks.write_table(df, f"{database}.{name}")
+    return paths, gates

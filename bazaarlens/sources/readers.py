@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaarlens.schemas import BY_NAME
 
+#: Column of :func:`read_csv_with_rejects`: names of the columns whose text could not be read.
+UNREADABLE = "_unreadable"
+
+
+def read_csv_with_rejects(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A raw CSV extract with a header line, columns found by name in any order.
+
+    Every value is read as text and then converted to the declared type. A column that the
+    header lacks is an error. A value that does not convert becomes NULL, and its column's
+    name is listed in ``_unreadable``, which the audits count.
+    """
+    schema = BY_NAME[name]
+    text = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [f.name for f in schema if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{name}: the header lacks {', '.join(missing)}")
+    values = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema if not isinstance(f.dataType, T.StringType)}
+    failed = [F.when(F.col(n).isNotNull() & v.isNull(), n) for n, v in values.items()]
+    unreadable = F.filter(F.array(*failed), lambda n: n.isNotNull()).cast("array<string>")
+    return text.select(*[values.get(f.name, F.col(f.name)).alias(f.name) for f in schema], unreadable.alias(UNREADABLE))
+
 
 def read_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A raw CSV extract with a header line, read with the declared schema."""
-    return spark.read.schema(BY_NAME[name]).option("header", True).csv(path)
+    """The declared columns of :func:`read_csv_with_rejects`."""
+    return read_csv_with_rejects(spark, name, path).drop(UNREADABLE)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
