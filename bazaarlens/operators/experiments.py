@@ -20,6 +20,7 @@ ALPHA, POWER, EFFECT = 0.05, 0.80, 0.002
 MIN_ARM = 100
 ROLLING_ROWS = 7
 CURVE_START, CURVE_STOP, CURVE_STEP = 1000, 200_000, 5000
+ALL_SESSIONS = "all"
 SHIP, CONTINUE = "✅ SHIP IT", "⏳ CONTINUE"
 
 
@@ -132,10 +133,12 @@ def power_at(n: Column, baseline: Column, effect: Column, alpha: float = ALPHA)
     return rounded(normal.cdf(z), 4)
 
 
-def _segment_baselines(sessions: DataFrame, segment: str) -> DataFrame:
-    """Control conversion rate per segment, rounded like the reported percentage."""
-    return ab_arm_counts(sessions, [segment]).select(
-        F.col(segment).alias("segment"),
+def _segment_baselines(sessions: DataFrame, segment: str | None) -> DataFrame:
+    """Control conversion rate per segment, rounded like the reported percentage; without a
+    ``segment`` one row, ``all``, over all sessions."""
+    name = F.lit(ALL_SESSIONS) if segment is None else F.col(segment)
+    return ab_arm_counts(sessions, [segment] if segment else []).select(
+        name.alias("segment"),
         "control_n",
         "variant_n",
         rounded(_rate("control"), 6).alias("baseline_rate"),
@@ -143,7 +146,7 @@ def _segment_baselines(sessions: DataFrame, segment: str) -> DataFrame:
     )
 
 
-def ab_required_sample(sessions: DataFrame, segment: str = "device", effect: float = EFFECT) -> DataFrame:
+def ab_required_sample(sessions: DataFrame, segment: str | None = "device", effect: float = EFFECT) -> DataFrame:
     return _segment_baselines(sessions, segment).select(
         "segment",
         "control_n",
@@ -153,7 +156,7 @@ def ab_required_sample(sessions: DataFrame, segment: str = "device", effect: flo
     )
 
 
-def ab_observed_power(sessions: DataFrame, segment: str = "device", effect: float = EFFECT) -> DataFrame:
+def ab_observed_power(sessions: DataFrame, segment: str | None = "device", effect: float = EFFECT) -> DataFrame:
     """Power of the smaller arm to see ``effect``, per segment."""
     n = F.least("control_n", "variant_n")
     return _segment_baselines(sessions, segment).select(
@@ -165,7 +168,7 @@ def ab_observed_power(sessions: DataFrame, segment: str = "device", effect: floa
     )
 
 
-def ab_power_curve(sessions: DataFrame, segment: str = "device", effect: float = EFFECT) -> DataFrame:
+def ab_power_curve(sessions: DataFrame, segment: str | None = "device", effect: float = EFFECT) -> DataFrame:
     """Power over a range of arm sizes, per segment baseline."""
     sizes = F.sequence(F.lit(CURVE_START), F.lit(CURVE_STOP), F.lit(CURVE_STEP))
     return (

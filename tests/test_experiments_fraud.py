@@ -67,6 +67,10 @@ def test_segments_need_a_hundred_sessions_per_arm(spark):
     curve = experiments.ab_power_curve(df).where("segment = 'mobile'").orderBy("n").collect()
     assert len(curve) == 40 and [r.power for r in curve] == sorted(r.power for r in curve) and curve[-1].n == 196000
     assert experiments.ab_required_sample(df).count() == 2 and experiments.ab_observed_power(df).count() == 2
+    for report in (experiments.ab_required_sample, experiments.ab_observed_power):
+        (row,) = report(df, segment=None).collect()
+        arms = experiments.ab_arm_counts(df).first()
+        assert row.segment == "all" and row.baseline_rate == pytest.approx(arms.control_conv / arms.control_n, abs=1e-6)
 
 
 def test_rolling_conversion_needs_seven_days(spark):
