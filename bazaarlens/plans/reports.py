@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,8 @@ def _settled(operator: Callable[..., DataFrame]) -> Callable[[Tables], DataFrame
 
 
 def _clean_roundtrip(t: Tables) -> DataFrame:
-    path = f"{shared_folder(t.spark)}/{t.spark.sparkContext.applicationId}/payments_clean"
+    # A fresh path for each call: frames returned earlier still read theirs.
+    path = f"{shared_folder(t.spark)}/payments_clean-{uuid.uuid4().hex}"
     sinks.write_clean(t.payments(), path, "settlement_date", ("seller_id",))
     return t.spark.read.parquet(path).drop("settlement_date_month")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
 TARGET_PARTITION_BYTES = 128 * 1024**2
+# Without a stated input size, shuffles start with partitions for this much; AQE merges the small ones.
+DEFAULT_INPUT_BYTES = 256 * 1024**3
 
 
 def shuffle_partitions(input_bytes: int) -> int:
@@ -16,11 +16,11 @@ def shuffle_partitions(input_bytes: int) -> int:
     AQE merges small ones afterwards but cannot make more, so a large input has to start
     with many: 100 TB give about 800,000.
     """
-    return max(200, -(-input_bytes // TARGET_PARTITION_BYTES))
+    return max(8, -(-input_bytes // TARGET_PARTITION_BYTES))
 
 
 def build_session(
-    app: str = "bazaarlens", master: str | None = None, input_bytes: int | None = None, **conf: str
+    app: str = "bazaarlens", master: str | None = None, input_bytes: int = DEFAULT_INPUT_BYTES, **conf: str
 ) -> SparkSession:
     """A session with the settings the operators rely on.
 
@@ -39,25 +39,18 @@ def build_session(
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # Recording the Python call site of every column expression doubles planning time.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_partitions(input_bytes)),
     }
-    if input_bytes is not None:
-        defaults["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(shuffle_partitions(input_bytes))
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediate tables: ``spark.checkpoint.dir``.
-
-    Only a local session may do without the setting; on a cluster a folder of one
-    machine would be lost with it.
-    """
+    """The folder for written intermediate tables: ``spark.checkpoint.dir``, or what
+    ``setCheckpointDir`` was given. There is no default, on any master: a folder of one
+    machine would be lost with it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="bazaarlens-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")

@@ -44,9 +44,11 @@ def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    files = [os.path.join(d, f) for d, _, names in os.walk(directory) for f in names]
     spark = build_session(
         "bazaarlens-bench",
         f"local[{cpus}]",
+        input_bytes=sum(map(os.path.getsize, files)),
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",

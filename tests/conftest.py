@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
     session = build_session(
         "bazaarlens-tests",
         "local[4]",
+        input_bytes=0,
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
