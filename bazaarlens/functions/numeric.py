@@ -15,8 +15,12 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def rounded(value: Column, digits: int, working_scale: int = 8) -> Column:
-    """Half-up rounding done on a decimal, so 2.675 becomes 2.68 whatever its binary form."""
+def rounded(value: Column, digits: int, working_scale: int = 12) -> Column:
+    """Half-up rounding done on a decimal, so 2.675 becomes 2.68 whatever its binary form.
+
+    The decimal keeps 12 places: enough that no reported value is rounded twice, and few
+    enough to absorb the last bits that a sum of doubles gains in another order.
+    """
     return F.round(value.cast(f"decimal(38,{working_scale})"), digits).cast("double")
 
 

@@ -5,45 +5,84 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
+PERCENTAGE = T.DecimalType(5, 2)
 
-
-def _schema(spec: str) -> T.StructType:
-    kinds = {
-        "s": T.StringType(),
-        "t": T.TimestampType(),
-        "d": T.DateType(),
-        "i": T.IntegerType(),
-        "l": T.LongType(),
-        "m": MONEY,
-        "p": T.DecimalType(5, 2),
-    }
-    fields = []
-    for item in spec.split():
-        name, kind = item.split(":")
-        fields.append(T.StructField(name, kinds[kind.rstrip("!")], not kind.endswith("!")))
-    return T.StructType(fields)
-
-
-# One letter per type: s string, t timestamp, d date, i int, l bigint, m money,
-# p percentage; "!" marks a column that must not be NULL.
-ORDERS = _schema(
-    "order_id:s! customer_id:s! seller_id:s! order_date:t! category:s gmv:m discount_amount:m "
-    "shipping_fee:m status:s payment_method:s channel:s net_revenue:m"
+# Names, order, types and nullability of the columns.
+ORDERS = T.StructType(
+    [
+        T.StructField("order_id", T.StringType(), False),
+        T.StructField("customer_id", T.StringType(), False),
+        T.StructField("seller_id", T.StringType(), False),
+        T.StructField("order_date", T.TimestampType(), False),
+        T.StructField("category", T.StringType(), True),
+        T.StructField("gmv", MONEY, True),
+        T.StructField("discount_amount", MONEY, True),
+        T.StructField("shipping_fee", MONEY, True),
+        T.StructField("status", T.StringType(), True),
+        T.StructField("payment_method", T.StringType(), True),
+        T.StructField("channel", T.StringType(), True),
+        T.StructField("net_revenue", MONEY, True),
+    ]
+)
+SELLERS = T.StructType(
+    [
+        T.StructField("seller_id", T.StringType(), False),
+        T.StructField("seller_name", T.StringType(), True),
+        T.StructField("category", T.StringType(), True),
+        T.StructField("state", T.StringType(), True),
+        T.StructField("tier", T.StringType(), True),
+        T.StructField("joined_date", T.DateType(), True),
+        T.StructField("commission_pct", PERCENTAGE, True),
+        T.StructField("is_active", T.IntegerType(), True),
+    ]
 )
-SELLERS = _schema(
-    "seller_id:s! seller_name:s category:s state:s tier:s joined_date:d commission_pct:p is_active:i"
+CUSTOMERS = T.StructType(
+    [
+        T.StructField("customer_id", T.StringType(), False),
+        T.StructField("state", T.StringType(), True),
+        T.StructField("age_group", T.StringType(), True),
+        T.StructField("gender", T.StringType(), True),
+        T.StructField("registration_date", T.TimestampType(), True),
+        T.StructField("acquisition_channel", T.StringType(), True),
+        T.StructField("is_prime", T.IntegerType(), True),
+    ]
 )
-CUSTOMERS = _schema(
-    "customer_id:s! state:s age_group:s gender:s registration_date:t acquisition_channel:s is_prime:i"
+PAYMENTS = T.StructType(
+    [
+        T.StructField("payment_id", T.StringType(), False),
+        T.StructField("order_id", T.StringType(), False),
+        T.StructField("seller_id", T.StringType(), False),
+        T.StructField("expected_payout", MONEY, True),
+        T.StructField("actual_payout", MONEY, True),
+        T.StructField("discrepancy_flag", T.IntegerType(), True),
+        T.StructField("discrepancy_amt", MONEY, True),
+        T.StructField("settlement_date", T.TimestampType(), True),
+        T.StructField("settlement_cycle", T.StringType(), True),
+        T.StructField("status", T.StringType(), True),
+    ]
 )
-PAYMENTS = _schema(
-    "payment_id:s! order_id:s! seller_id:s! expected_payout:m actual_payout:m discrepancy_flag:i "
-    "discrepancy_amt:m settlement_date:t settlement_cycle:s status:s"
+MARKETING_SPEND = T.StructType(
+    [
+        T.StructField("date", T.DateType(), False),
+        T.StructField("channel", T.StringType(), False),
+        T.StructField("spend_inr", MONEY, True),
+        T.StructField("impressions", T.LongType(), True),
+        T.StructField("clicks", T.LongType(), True),
+    ]
 )
-MARKETING_SPEND = _schema("date:d! channel:s! spend_inr:m impressions:l clicks:l")
-SESSIONS = _schema(
-    "session_id:s! customer_id:s session_date:t channel:s device:s ab_variant:s pages_viewed:i "
-    "session_duration_sec:i converted:i bounce:i"
+SESSIONS = T.StructType(
+    [
+        T.StructField("session_id", T.StringType(), False),
+        T.StructField("customer_id", T.StringType(), True),
+        T.StructField("session_date", T.TimestampType(), True),
+        T.StructField("channel", T.StringType(), True),
+        T.StructField("device", T.StringType(), True),
+        T.StructField("ab_variant", T.StringType(), True),
+        T.StructField("pages_viewed", T.IntegerType(), True),
+        T.StructField("session_duration_sec", T.IntegerType(), True),
+        T.StructField("converted", T.IntegerType(), True),
+        T.StructField("bounce", T.IntegerType(), True),
+    ]
 )
 
 BY_NAME = {
