@@ -12,8 +12,8 @@ from bazaarlens.llm import chat, prob_minhash, queries
 #: Vectors that may take part.
 USABLE = """
   embedding IS NOT NULL AND len(embedding) > 0
-  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-  AND len(list_filter(embedding, x -> x <> 0)) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 """
 
 
@@ -47,8 +47,8 @@ NEAREST = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {USABLE}),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.e, c.e), p -> (p[1] - p[2]) * (p[1] - p[2]))),
-                          (s, x) -> s + x)) AS score
+         sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))),
+                          lambda s, x: s + x)) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
@@ -196,18 +196,18 @@ WITH RECURSIVE w AS (
 ),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
-    THEN list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))
+    THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
     ELSE [array_to_string(words, ' ')] END) AS shingle
   FROM w WHERE len(words) > 0
 ),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
   GROUP BY x.doc_id, y.doc_id
 ),
 links AS (
   SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-  WHERE both >= {prob_minhash.SIMILARITY} * (x.n + y.n - both) - 1e-9
+  WHERE common >= {prob_minhash.SIMILARITY} * (x.n + y.n - common) - 1e-9
 ),
 {_reach("SELECT a, b FROM links")}
 SELECT d.doc_id, coalesce(c.root, d.doc_id) AS component_id, coalesce(c.root, d.doc_id) = d.doc_id AS kept
