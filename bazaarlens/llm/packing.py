@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,23 +18,88 @@ from bazaarlens.llm.staging import staged
 #: Pieces that one task packs together. Padding per group is about one open sequence.
 GROUP_PIECES = 8192
 TEXTS_AT_ONCE = 64
+#: Words whose ids a task remembers.
+MEMORY_WORDS = 1 << 19
+
+#: Fixed values of the tokenizer that :class:`WordIds` may take apart into words.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORD_END = "</w>"
+#: The same words in texts of characters up to U+024F, which are their own normal form, without the
+#: control characters that only Python counts as white space.
+_LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-\u024f"
+_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\s0-9²³¹¼-¾{_LETTERS}]+")
+_PLAIN = re.compile("[^\x1c-\x1f\u0250-\U0010ffff]*")
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class WordIds:
+    """Token ids of texts as the tokenizer gives them, with a memory of the ids of words.
+
+    A tokenizer that splits texts into words first, and whose tokens mark the end of a
+    word, gives a text the ids of its words in turn. Words not met before are encoded
+    together as one text, and its ids are cut at word ends. Texts with characters beyond
+    U+024F or with what may be a special token, and all texts of other tokenizers, are
+    encoded whole.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        model.no_truncation()
-        model.no_padding()
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        parts = json.loads(self.model.to_str())
+        steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        first = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = (
+            steps == WORD_NORMALIZERS
+            and first.get("pattern") == {"Regex": WORD_PATTERN}
+            and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+            and parts["model"].get("end_of_word_suffix") == WORD_END
+        )
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.memory: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self.whole(" ".join(words))
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) == len(words) and (not len(ids) or at[-1] == len(ids)):
+            raw, cuts = ids.tobytes(), [0, *(at * 4).tolist()]
+            self.memory.update((w, raw[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+        else:
+            self.memory.update((w, self.whole(w).tobytes()) for w in words)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self.by_word and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
+        words = [_WORD.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        if len(self.memory) > MEMORY_WORDS:
+            self.memory = {}
+        new = list(dict.fromkeys(w for own in words for w in own if w not in self.memory))
+        if new:
+            self._learn(new)
+        remember = self.memory.__getitem__
+        return [
+            np.frombuffer(b"".join(map(remember, own)), "<u4") if p else self.whole(t)
+            for t, p, own in zip(texts, plain, words, strict=True)
+        ]
+
+
+def _cut(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = WordIds(public_tokenizers.path(tokenizer))
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 columns: list[list] = [[], [], [], [], []]
-                for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    ids = np.array(model.encode(text, add_special_tokens=False).ids + [end_id], dtype="<u4")
+                for doc_id, ids in zip(part.column(0).to_pylist(), model.encode(texts), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]
                         for c, v in zip(columns, (doc_id, start, len(piece), len(ids), piece.tobytes()), strict=True):

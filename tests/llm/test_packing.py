@@ -41,6 +41,24 @@ def test_dot_product_prefers_what_matches_the_room_left():
     assert len(set(bins.tolist())) == 2
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list(" \t\n\x1c\x85\xa0'sStTrRelLdDmMvV09²¼ªµßÀéİŸſǅΣς…—’<|>#_-\"áź界🙂\u200b")), max_size=14), max_size=4))
+def test_word_ids_equal_the_tokenizer(texts):
+    words = test_word_ids_equal_the_tokenizer.__dict__.setdefault("own", packing.WordIds(public_tokenizers.path(queries.PACK_TOKENIZER)))
+    assert words.by_word
+    texts = [*texts, "<|endoftext|> end", ""]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert ids.tolist() == words.model.encode(text, add_special_tokens=False).ids
+    if len(words.memory) > 200:
+        words.memory = {}
+
+
+def test_other_tokenizers_encode_whole_texts():
+    words = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Two words, 2 lines\n and <|endoftext|> é界"
+    assert not words.by_word and words.encode([text])[0].tolist() == words.model.encode(text, add_special_tokens=False).ids
+
+
 def check(documents, packed, capacity=queries.SEQUENCE_TOKENS):
     model = Tokenizer.from_file(public_tokenizers.path(queries.PACK_TOKENIZER))
     rows = packed.toPandas()
