@@ -13,15 +13,15 @@ from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.staging import staged
 
 WORDS, SIMILARITY = 5, 0.8
-#: A pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^24 > 0.999.
-BANDS, BAND_ROWS = 24, 6
+#: A pair at 0.8 shares a band with probability 1 - (1 - 0.8^7)^32 > 0.999.
+BANDS, BAND_ROWS = 32, 7
 REGISTERS = BANDS * BAND_ROWS
-#: Two bits of each register are kept as a sketch. At similarity 0.8 a register's bits differ with
-#: probability 0.15, so more than MOST_DIFFERENT of 144 differ with probability below 0.00001.
-SKETCH_BITS, MOST_DIFFERENT = 2, 41
-WORD_BITS = 48
+#: Four bits of each register are kept as a sketch. At similarity 0.8 a register's bits differ with
+#: probability 0.2 * 15 / 16, so more than MOST_DIFFERENT of 224 differ once in 10,000 pairs.
+SKETCH_BITS, MOST_DIFFERENT = 4, 63
+WORD_BITS = 56
 SKETCH_WORDS = REGISTERS // WORD_BITS
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 19
 SIGNATURES = "doc_id long, f1 long, f2 long, n int, bands array<long>, sketch array<long>"
 
 _RNG = np.random.default_rng(20_240_607)
@@ -225,10 +225,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
        against the pivots of its buckets. A document that many others were edited from is
        the pivot of them all, so large groups of near copies link by stars.
     3. Whatever members of a bucket are still in another component than its pivot meet all
-       members outside their component. Pairs whose sketches, two bits of each register,
-       differ more than a similar pair's do are dropped inside the join; the others are
-       verified. After that every pair that met in a bucket is connected, has been
-       verified, or is dissimilar by its sketches (wrongly so once in 100,000 pairs).
+       members outside their component. Pairs whose sketches, four bits of each register,
+       differ more than a similar pair's do are dropped inside the join, as is a pair in
+       all buckets but the first that it shares; the others are verified. After that every pair that met in a bucket is connected, has been
+       verified, or is dissimilar by its sketches (wrongly so once in 10,000 pairs at 0.8).
 
     Verification compares whole shingle sets. Copies of a class are joined by fingerprint
     at the end and are never expanded into pairs.
@@ -236,7 +236,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     signed = staged(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_sign, SIGNATURES), "signatures")
     least = signed.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("v"))
     classes = staged(least.select("f1", "f2", F.col("v.doc_id").alias("rep"), "v.n", "v.bands", "v.sketch"), "classes")
-    meets = classes.select(F.explode("bands").alias("bucket"), "rep")
+    meets = classes.select(F.posexplode("bands").alias("band", "bucket"), "rep")
     sizes = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     meets = staged(meets.join(sizes, "bucket"), "buckets")
     company = meets.groupBy("rep").agg(F.sum("size").alias("company"))
@@ -253,21 +253,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     parts = staged(connected_components(links, "a", "b"), "components")
     part = F.coalesce("component", "rep")
-    members = meets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", part.alias("part"))
+    members = meets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", part.alias("part"))
     at_pivot = pivots.join(parts.withColumnRenamed("node", "pivot"), "pivot", "left")
     at_pivot = at_pivot.select("bucket", F.coalesce("component", "pivot").alias("main"))
     members = staged(members.join(at_pivot, "bucket"), "members")
     away = F.col("part") != F.col("main")
     split = members.where(away).select("bucket").distinct()
-    members = members.join(split, "bucket", "left_semi").join(classes.select("rep", "n", "sketch"), "rep")
+    members = members.join(split, "bucket", "left_semi").join(classes.select("rep", "n", "sketch", "bands"), "rep")
     members = staged(members, "split-buckets")
-    others = members.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "part", "main", "n", "sketch")])
+    others = members.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "part", "main", "n", "sketch", "bands")])
     others = others.withColumnRenamed("other_rep", "other")
     both_away = (F.col("other_part") != F.col("other_main")) & (F.col("rep") > F.col("other"))
     fits = F.least("n", "other_n") >= SIMILARITY * F.greatest("n", "other_n")
     alike = different_registers("sketch", "other_sketch") <= MOST_DIFFERENT
     apart = (F.col("part") != F.col("other_part")) & ~both_away
-    pairs = members.where(away).join(others, (members["bucket"] == others["bucket"]) & apart & fits & alike)
+    earlier = [F.slice(c, F.lit(1), F.col("band")) for c in ("bands", "other_bands")]
+    met_before = F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
+    pairs = members.where(away).join(others, (members["bucket"] == others["bucket"]) & apart & fits & alike & ~met_before)
     pairs = pairs.select(*ordered).distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(sets, staged(pairs, "more-pairs"))
 

@@ -138,7 +138,7 @@ def test_sketches_count_different_registers(spark):
     rng = np.random.default_rng(8)
     one = rng.integers(0, 1 << 63, (50, prob_minhash.REGISTERS), dtype=np.uint64)
     two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 63, one.shape, dtype=np.uint64))
-    exact = ((prob_minhash._mixed(one) ^ prob_minhash._mixed(two)) & np.uint64(3) != 0).sum(1)
+    exact = ((prob_minhash._mixed(one) ^ prob_minhash._mixed(two)) & np.uint64((1 << prob_minhash.SKETCH_BITS) - 1) != 0).sum(1)
     lists = [prob_minhash.sketches(x).view(np.int64).tolist() for x in (one, two)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(*lists))], "i int, x array<long>, y array<long>")
     got = df.select("i", prob_minhash.different_registers("x", "y").alias("n")).orderBy("i").collect()
