@@ -22,7 +22,7 @@ FIT_TEXTS, GRAM, MAX_GRAMS, SMOOTHING = 2_000, 3, 1 << 17, 0.5
 #: EM rounds; the largest set of languages tried; log-likelihood asked for each language more, in units of log(words).
 ROUNDS, MAX_SET, PENALTY = 12, 3, 2.0
 #: Words whose likelihoods a task remembers, and characters of texts solved together (a longer text alone).
-MEMORY_WORDS, CHARS_AT_ONCE = 1 << 18, 1 << 20
+MEMORY_WORDS, CHARS_AT_ONCE = 1 << 17, 1 << 20
 PREDICTION = "lang_pred string, score double, langs array<string>, shares array<double>"
 
 

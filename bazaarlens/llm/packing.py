@@ -19,7 +19,7 @@ from bazaarlens.llm.staging import staged
 GROUP_PIECES = 8192
 TEXTS_AT_ONCE = 64
 #: Words whose ids a task remembers.
-MEMORY_WORDS = 1 << 19
+MEMORY_WORDS = 1 << 18
 
 #: Fixed values of the tokenizer that :class:`WordIds` may take apart into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

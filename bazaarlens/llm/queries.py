@@ -19,7 +19,7 @@ from bazaarlens.llm import (
     url_filter,
     vector_links,
 )
-from bazaarlens.llm.staging import ensure_shared_folder
+from bazaarlens.llm.staging import prepare
 
 # Production parameters.
 SEQUENCE_TOKENS, SEQUENCE_SEGMENTS, END_ID = 2048, 256, 1
@@ -38,8 +38,7 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_shared_folder(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,6 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch between Spark and Python. Texts are long, so the default of 10,000 rows is too much memory.
+BATCH_ROWS = 1_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings of the queries and the pipeline: UTC, short Arrow batches, a shared folder."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ensure_shared_folder(spark)
+
+
 def ensure_shared_folder(spark: SparkSession) -> None:
     """Sets a checkpoint folder where none is set, as in tests and local trials."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():

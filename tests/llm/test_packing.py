@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -41,10 +42,15 @@ def test_dot_product_prefers_what_matches_the_room_left():
     assert len(set(bins.tolist())) == 2
 
 
+@functools.cache
+def word_ids(name):
+    return packing.WordIds(public_tokenizers.path(name))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list(" \t\n\x1c\x85\xa0'sStTrRelLdDmMvV09²¼ªµßÀéİŸſǅΣς…—’<|>#_-\"áź界🙂\u200b")), max_size=14), max_size=4))
 def test_word_ids_equal_the_tokenizer(texts):
-    words = test_word_ids_equal_the_tokenizer.__dict__.setdefault("own", packing.WordIds(public_tokenizers.path(queries.PACK_TOKENIZER)))
+    words = word_ids(queries.PACK_TOKENIZER)
     assert words.by_word
     texts = [*texts, "<|endoftext|> end", ""]
     for text, ids in zip(texts, words.encode(texts)):
@@ -54,7 +60,7 @@ def test_word_ids_equal_the_tokenizer(texts):
 
 
 def test_other_tokenizers_encode_whole_texts():
-    words = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    words = word_ids("byte_bpe_50k.json")
     text = "Two words, 2 lines\n and <|endoftext|> é界"
     assert not words.by_word and words.encode([text])[0].tolist() == words.model.encode(text, add_special_tokens=False).ids
 
