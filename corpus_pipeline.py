@@ -13,30 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlens.llm import language, mixing, prob_minhash
 from bazaarlens.llm.queries import packed_documents
-from bazaarlens.llm.staging import ensure_shared_folder, staged
+from bazaarlens.llm.staging import prepare, staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a determined language: null texts and texts without letters."""
-    ensure_shared_folder(spark)
+    prepare(spark)
     return language.known_language(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    ensure_shared_folder(spark)
+    prepare(spark)
     return prob_minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and cuts documents so that sources have their target weights."""
-    ensure_shared_folder(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places the pieces of all documents in sequences of 2048 tokens."""
-    ensure_shared_folder(spark)
+    prepare(spark)
     return packed_documents(docs)
 
 
@@ -53,8 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_shared_folder(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = f"pipeline-{uuid.uuid4().hex[:8]}"
     for k, (_, stage) in enumerate(STAGES):
