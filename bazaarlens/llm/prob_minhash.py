@@ -155,13 +155,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
         for a, b in _chunks(texts):
-            doc, element, times = shingles(texts[a:b])
+            doc, element, _ = shingles(texts[a:b])
             n = np.bincount(doc, minlength=b - a)
             full = np.flatnonzero(n)
             if not len(full):
                 continue
             own = np.searchsorted(full, doc)
-            registers = signatures(own, element, 1 + np.log(times), len(full))
+            registers = signatures(own, element, np.ones(len(element)), len(full))
             parts = registers.reshape(len(full), BANDS, BAND_ROWS)
             bands = (parts * _PLACE[:BAND_ROWS]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLACE[BAND_ROWS]
             first = np.cumsum(n[full]) - n[full]
@@ -217,9 +217,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     is kept. Null texts and texts without words link with nothing. Rows that repeat a
     doc_id are one document: they share a row's fate.
 
-    1. Every text gets a ProbMinHash signature of its shingles, weighted by one plus the
-       logarithm of their multiplicity, and a fingerprint of its shingle set. Texts with
-       equal fingerprints form a class; the smallest id stands for it from here on.
+    1. Every text gets a ProbMinHash signature of its distinct shingles at equal rates, so
+       registers agree with the same Jaccard similarity that decides however often a passage
+       repeats, and a fingerprint of its shingle set. Texts with equal fingerprints form a
+       class; the smallest id stands for it from here on.
     2. Signatures are cut into bands; equal bands meet in a bucket. Each bucket's pivot is
        the member with the most company over all its buckets, and each member is verified
        against the pivots of its buckets. A document that many others were edited from is

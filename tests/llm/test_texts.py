@@ -158,6 +158,19 @@ def test_near_duplicates_on_the_table(spark, data_dir, documents):
     assert {r.doc_id: r.component_id for r in got} == brute_components([(r.doc_id, r.text) for r in documents.collect()])
 
 
+def test_copies_that_repeat_a_passage_unequally_often(make_documents):
+    """Search follows the set similarity: a passage once in one copy and 100 times in the other."""
+    rng, rows = random.Random(9), []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(140)]
+        for times in (1, 100):
+            rows.append((len(rows), " ".join(words[:100] + words[100:] * times)))
+    expected = brute_components(rows)
+    assert all(expected[i] == i - i % 2 for i, _ in rows)
+    got = prob_minhash.near_duplicates(make_documents(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+
+
 def test_near_duplicates_of_odd_texts(make_documents):
     long = "lang wort text satz ende " * 4000
     rows = [(1, None), (2, None), (3, ""), (4, " \n"), (5, "A b"), (6, "a  B"), (7, "a b c"), (8, long), (9, long + " x"), (10, "d e f g h"), (10, "d e f g h"), (None, "a b")]
