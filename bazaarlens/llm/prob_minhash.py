@@ -16,13 +16,15 @@ WORDS, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8^7)^32 > 0.999.
 BANDS, BAND_ROWS = 32, 7
 REGISTERS = BANDS * BAND_ROWS
-#: Four bits of each register are kept as a sketch. At similarity 0.8 a register's bits differ with
-#: probability 0.2 * 15 / 16, so more than MOST_DIFFERENT of 224 differ once in 10,000 pairs.
+#: Parities of the shingles in this many classes bound a pair's similarity from above.
+PARITY_WORDS = 16
+#: An estimate by four bits of each register; near_duplicates drops no pair by it. At similarity 0.8 more
+#: than MOST_DIFFERENT of 224 registers differ with probability 2.3e-4.
 SKETCH_BITS, MOST_DIFFERENT = 4, 63
 WORD_BITS = 56
 SKETCH_WORDS = REGISTERS // WORD_BITS
 BYTES_AT_ONCE = 1 << 19
-SIGNATURES = "doc_id long, f1 long, f2 long, n int, bands array<long>, sketch array<long>"
+SIGNATURES = "doc_id long, f1 long, f2 long, n int, bands array<long>, parity array<long>"
 
 _RNG = np.random.default_rng(20_240_607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,6 +133,31 @@ def different_registers(x: str, y: str) -> Column:
     return total
 
 
+def parities(doc: np.ndarray, element: np.ndarray, docs: int) -> np.ndarray:
+    """Whether each of 64 * PARITY_WORDS classes holds an odd number of a set's elements (docs x words).
+
+    A class whose parity differs between two sets holds an element that only one of them has.
+    """
+    classes = 64 * PARITY_WORDS
+    place = doc * classes + (_mixed(element + np.uint64(_BASE)) % np.uint64(classes)).astype(np.int64)
+    odd = (np.bincount(place, minlength=docs * classes) & 1).astype(np.uint64).reshape(docs, PARITY_WORDS, 64)
+    return (odd << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
+
+
+def may_be_similar(n: str, parity: str, other_n: str, other_parity: str) -> Column:
+    """False only for sets that cannot reach the similarity, by their sizes and parities.
+
+    With d elements in only one of the sets, the similarity is (n + m - d) / (n + m + d), and
+    d is at least the number of parities that differ.
+    """
+    n, m = F.col(n), F.col(other_n)
+    differ = F.lit(0)
+    for w in range(PARITY_WORDS):
+        differ = differ + F.bit_count(F.col(parity)[w].bitwiseXOR(F.col(other_parity)[w]))
+    sizes = F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-6
+    return sizes & (differ * (1 + SIMILARITY) <= (n + m) * (1 - SIMILARITY) + 1e-6)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -166,10 +193,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = (parts * _PLACE[:BAND_ROWS]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLACE[BAND_ROWS]
             first = np.cumsum(n[full]) - n[full]
             prints = [np.add.reduceat(_mixed(element + np.uint64(s)), first) for s in (1, 2)]
-            lists = [_lists(_mixed(bands)), _lists(sketches(registers))]
+            lists = [_lists(_mixed(bands)), _lists(parities(own, element, len(full)))]
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(full + a)), _signed(prints[0]), _signed(prints[1]), pa.array(n[full], pa.int32()), *lists],
-                names=["doc_id", "f1", "f2", "n", "bands", "sketch"],
+                names=["doc_id", "f1", "f2", "n", "bands", "parity"],
             )
 
 
@@ -226,17 +253,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
        against the pivots of its buckets. A document that many others were edited from is
        the pivot of them all, so large groups of near copies link by stars.
     3. Whatever members of a bucket are still in another component than its pivot meet all
-       members outside their component. Pairs whose sketches, four bits of each register,
-       differ more than a similar pair's do are dropped inside the join, as is a pair in
-       all buckets but the first that it shares; the others are verified. After that every pair that met in a bucket is connected, has been
-       verified, or is dissimilar by its sketches (wrongly so once in 10,000 pairs at 0.8).
+       members outside their component. A pair is made in the first bucket that it shares,
+       and inside the join those are left out whose set sizes or parities prove them
+       dissimilar; all others are verified. After that every pair that met in a bucket is
+       connected, has been verified, or is certainly dissimilar.
 
     Verification compares whole shingle sets. Copies of a class are joined by fingerprint
     at the end and are never expanded into pairs.
     """
     signed = staged(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_sign, SIGNATURES), "signatures")
-    least = signed.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("v"))
-    classes = staged(least.select("f1", "f2", F.col("v.doc_id").alias("rep"), "v.n", "v.bands", "v.sketch"), "classes")
+    least = signed.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "bands", "parity")).alias("v"))
+    classes = staged(least.select("f1", "f2", F.col("v.doc_id").alias("rep"), "v.n", "v.bands", "v.parity"), "classes")
     meets = classes.select(F.posexplode("bands").alias("band", "bucket"), "rep")
     sizes = meets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     meets = staged(meets.join(sizes, "bucket"), "buckets")
@@ -260,17 +287,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = staged(members.join(at_pivot, "bucket"), "members")
     away = F.col("part") != F.col("main")
     split = members.where(away).select("bucket").distinct()
-    members = members.join(split, "bucket", "left_semi").join(classes.select("rep", "n", "sketch", "bands"), "rep")
+    members = members.join(split, "bucket", "left_semi").join(classes.select("rep", "n", "parity", "bands"), "rep")
     members = staged(members, "split-buckets")
-    others = members.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "part", "main", "n", "sketch", "bands")])
+    others = members.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "part", "main", "n", "parity", "bands")])
     others = others.withColumnRenamed("other_rep", "other")
     both_away = (F.col("other_part") != F.col("other_main")) & (F.col("rep") > F.col("other"))
-    fits = F.least("n", "other_n") >= SIMILARITY * F.greatest("n", "other_n")
-    alike = different_registers("sketch", "other_sketch") <= MOST_DIFFERENT
+    alike = may_be_similar("n", "parity", "other_n", "other_parity")
     apart = (F.col("part") != F.col("other_part")) & ~both_away
     earlier = [F.slice(c, F.lit(1), F.col("band")) for c in ("bands", "other_bands")]
     met_before = F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
-    pairs = members.where(away).join(others, (members["bucket"] == others["bucket"]) & apart & fits & alike & ~met_before)
+    pairs = members.where(away).join(others, (members["bucket"] == others["bucket"]) & apart & alike & ~met_before)
     pairs = pairs.select(*ordered).distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(sets, staged(pairs, "more-pairs"))
 

@@ -158,6 +158,37 @@ def test_near_duplicates_on_the_table(spark, data_dir, documents):
     assert {r.doc_id: r.component_id for r in got} == brute_components([(r.doc_id, r.text) for r in documents.collect()])
 
 
+def test_no_similar_pair_is_left_out_by_parities(spark):
+    """Pairs just at the threshold stay whatever their size; most small dissimilar ones go."""
+    rng, rows = np.random.default_rng(10), []
+    for n in [*range(1, 60), 90, 450, 4500, 45_000]:
+        for common in (math.ceil(8 * n / 9), n // 2):
+            ids = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+            both = np.r_[ids[:n], ids[:common], ids[n:]]
+            one, two = prob_minhash.parities(np.repeat([0, 1], n), both, 2).view(np.int64).tolist()
+            rows.append((n, one, n, two, common / (2 * n - common) >= 0.8))
+    df = spark.createDataFrame(rows, "n int, p array<long>, m int, q array<long>, similar boolean")
+    got = df.select("n", "similar", prob_minhash.may_be_similar("n", "p", "m", "q").alias("stays")).collect()
+    assert all(r.stays for r in got if r.similar)
+    assert sum(not r.stays for r in got if not r.similar) > 50
+
+
+def test_pairs_that_the_estimate_drops_are_verified(spark):
+    """Among 8,000 pairs at 0.8 some differ in more registers than the estimate allows; none is left out."""
+    rng, dropped = np.random.default_rng(12), []
+    for _ in range(80):
+        ids = rng.integers(0, 1 << 63, (100, 10), dtype=np.uint64)
+        sets = np.stack([ids[:, :9], np.c_[ids[:, :8], ids[:, 9]]], axis=1).ravel()
+        doc = np.repeat(np.arange(200), 9)
+        mixed = prob_minhash._mixed(prob_minhash.signatures(doc, sets, np.ones(len(doc)), 200)) & np.uint64(15)
+        bits = prob_minhash.parities(doc, sets, 200).view(np.int64)
+        for k in np.flatnonzero((mixed[::2] != mixed[1::2]).sum(1) > prob_minhash.MOST_DIFFERENT):
+            dropped.append((9, bits[2 * k].tolist(), bits[2 * k + 1].tolist()))
+    assert dropped
+    df = spark.createDataFrame(dropped, "n int, p array<long>, q array<long>")
+    assert df.where(prob_minhash.may_be_similar("n", "p", "n", "q")).count() == len(dropped)
+
+
 def test_copies_that_repeat_a_passage_unequally_often(make_documents):
     """Search follows the set similarity: a passage once in one copy and 100 times in the other."""
     rng, rows = random.Random(9), []
