@@ -64,12 +64,12 @@ def op2_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select(
-        "doc_id", (F.length(_binary("text")) + 1).cast("long").alias("size"), F.crc32(_binary("text")).alias("text_crc32")
-    )
-    rows = sharding.shuffle_into_shards(documents, SHARDS)
+    rows = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+    size = (F.length(_binary("row.text")) + 1).cast("long").alias("size")
     none = F.lit(None).cast("int").alias("grown_shard")
-    return rows.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", none)
+    return rows.select(
+        "row.doc_id", size, F.crc32(_binary("row.text")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", none
+    )
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

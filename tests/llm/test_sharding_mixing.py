@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,17 @@ def test_shards_of_documents(spark, data_dir, make_documents, tmp_path):
     assert sharding.shuffle_into_shards(make_documents([(1, "a")]).limit(0), 8).count() == 0
 
 
+def test_shards_carry_the_texts(spark, data_dir, documents, monkeypatch):
+    """The query shuffles whole documents and takes its digest columns from what arrives."""
+    seen = []
+    shuffle = sharding.shuffle_into_shards
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda rows, *a, **b: seen.append(shuffle(rows, *a, **b)) or seen[-1])
+    got = {r.doc_id: (r.size, r.text_crc32) for r in queries.op3_hypergeometric_shards(spark, data_dir).collect()}
+    texts = {r.doc_id: r.text for r in seen[0].select("row.doc_id", "row.text").collect()}
+    assert texts == {r.doc_id: r.text for r in documents.collect()}
+    assert got == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()}
+
+
 def brute_targets(sizes, weights, total, passes):
     """Reshares the excess until none is above."""
     full, out = set(), [0.0] * len(sizes)
