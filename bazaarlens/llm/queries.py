@@ -47,16 +47,16 @@ def _binary(text: str) -> Column:
 
 
 def packed_documents(documents: DataFrame) -> DataFrame:
+    """The pieces of all documents with their place in a sequence, and their ids (little-endian 32-bit)."""
     pieces = packing.token_pieces(documents, PACK_TOKENIZER, END_ID, SEQUENCE_TOKENS)
-    pieces = pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", F.col("length").alias("loss")
-    )
+    pieces = pieces.withColumn("loss", F.col("length"))
     packed = packing.pack(pieces, SEQUENCE_TOKENS, SEQUENCE_SEGMENTS, SEQUENCE_TOKENS)
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(_table(spark, sf_dir, "documents"))
+    return packed_documents(_table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op2_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:

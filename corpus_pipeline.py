@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places the pieces of all documents in sequences of 2048 tokens."""
+    """Places the pieces of all documents, with their ids, in sequences of 2048 tokens."""
     prepare(spark)
     return packed_documents(docs)
 

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import collections
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from bazaarlens.llm import mixing, queries
+from bazaarlens.llm import mixing, packing, queries
 from bazaarlens.llm.staging import staged
 from test_packing import check
 from test_texts import brute_components
@@ -34,6 +36,15 @@ def test_stages_keep_columns_and_do_their_work(results):
     check(mixed, packed, queries.SEQUENCE_TOKENS)
 
 
+def test_packed_rows_build_the_sequences(results):
+    """The last stage's rows hold the ids whose digest they give, and build whole sequences."""
+    rows = results[-1].collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+    built = {r.sequence_id: r.input_ids for r in packing.sequences(results[-1], queries.SEQUENCE_TOKENS, 0).collect()}
+    for r in rows:
+        assert built[r.sequence_id][r.offset : r.offset + r.length] == np.frombuffer(r.ids, "<u4").tolist()
+
+
 def test_run_gives_the_same_rows(spark, data_dir, results):
     ran = corpus_pipeline.run(spark, data_dir)
     columns = ["doc_id", "start", "length", "ids_crc32"]
