@@ -43,13 +43,14 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(values), len(flat) // max(1, len(values)))
 
 
-def fit_sample(vectors: DataFrame, key: str, vector: str, total: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and vectors of at most ``rows`` rows, chosen by a hash of the key."""
+def fit_sample(vectors: DataFrame, key: str, vector: str, total: int, rows: int, seed: int, *extra: str) -> tuple:
+    """Keys and vectors of at most ``rows`` rows, chosen by a hash of the key, and lists of the ``extra`` columns."""
     chosen = vectors.where(hashed_fraction(F.col(key), rows / max(1, total), seed)).limit(rows)
-    table = chosen.select(key, vector).toArrow()
+    table = chosen.select(key, vector, *extra).toArrow()
     keys = np.asarray(table.column(0)).astype(np.int64)
     order = np.argsort(keys, kind="stable")
-    return keys[order], matrix(table.column(1))[order]
+    more = [table.column(2 + k).take(order).to_pylist() for k in range(len(extra))]
+    return keys[order], matrix(table.column(1))[order], *more
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:

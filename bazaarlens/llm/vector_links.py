@@ -14,39 +14,77 @@ from bazaarlens.llm import multi_index as mi
 from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.staging import staged
 
-#: Fitting: rows of the sample, vectors per cell aimed at, trial pairs for the radius.
-SAMPLE_ROWS, CELL_ROWS, MAX_CODES, TRIALS = 16_384, 64, 256, 2_000
+#: Fitting: rows of the sample, vectors per cell aimed at.
+SAMPLE_ROWS, CELL_ROWS, MAX_CODES = 16_384, 64, 256
+#: Calibrating: sample vectors compared at once, and the cosine from which two vectors are copies.
+COMPARED_ROWS, COPY_COSINE = 1024, 1 - 1e-9
 #: Entries, and searching vectors, of one block of a band (cells of one first code).
 BLOCK_ROWS = 512
 
 
-def _radius(index: mi.MultiIndex, sample: np.ndarray, cosine: float, recall: float, seed: int) -> float:
-    """The summed bound up to which cells are visited so that pairs at exactly the threshold
-    are found with probability ``recall``.
-
-    Trial pairs turn sample vectors by the threshold angle in random directions. A pair is
-    found if either vector visits the other's cell, so the smaller of both bounds counts.
-    """
-    rng = np.random.default_rng(seed)
-    x = sample[rng.integers(len(sample), size=TRIALS)]
-    side = rng.normal(size=x.shape)
-    side -= (side * x).sum(1)[:, None] * x
-    side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
-    y = cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * side
-    need = []
-    for a, b in ((x, y), (y, x)):
-        one, two = index.bounds(a)
-        i, j = index.codes(b)
-        rows = np.arange(len(a))
-        need.append(one[rows, i] + two[rows, j])
-    return float(np.quantile(np.minimum(*need), recall)) + 1e-12
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _needs(shared, cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For the sample vectors that link with vectors of a batch, copies aside: the largest summed bound
+    up to which cells must be visited to find the pair. The smaller bound of both ends counts, as a
+    pair is found if either visits the other's cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, keys, sample, labels = shared.value
+        own = {}
+        for at, label in enumerate(labels):
+            own.setdefault(label, []).append(at)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, ids = _unit(mi.matrix(batch.column("embedding"))), np.asarray(batch.column("vec_id"))
+            (one, two), (i, j) = grid.bounds(x), grid.codes(x)
+            of = {}
+            for row, label in enumerate(batch.column("label").to_pylist()):
+                of.setdefault(label, []).append(row)
+            need = np.full(len(keys), -1.0)
+            for label, rows in of.items():
+                rows = np.array(rows)
+                for begin in range(0, len(own.get(label, [])), COMPARED_ROWS):
+                    at = np.array(own[label][begin : begin + COMPARED_ROWS])
+                    near = x[rows] @ sample[at].T
+                    near = (near >= cosine) & (near < COPY_COSINE) & (ids[rows, None] != keys[None, at])
+                    hit = np.flatnonzero(near.any(0))
+                    if not len(hit):
+                        continue
+                    (p, q), (k, m) = grid.bounds(sample[at[hit]]), grid.codes(sample[at[hit]])
+                    there = one[np.ix_(rows, k)] + two[np.ix_(rows, m)]
+                    back = (p[:, i[rows]] + q[:, j[rows]]).T
+                    least = np.where(near[:, hit], np.minimum(there, back), -1.0).max(0)
+                    need[at[hit]] = np.maximum(need[at[hit]], least)
+            found = np.flatnonzero(need >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(need[found])], names=["at", "need"])
+
+    return run
+
+
+def _radius(usable: DataFrame, shared, cosine: float, recall: float, whole: bool) -> float:
+    """The summed bound up to which cells are visited.
+
+    Sample vectors are compared with all vectors of their label, and the radius is the largest
+    that any of their links needs. With 3 / (1 - recall) sample vectors that have links, at most
+    1 - recall of all such vectors need more (at 95% confidence); where the sample is the
+    whole table, none does. With fewer, the squared distance at the threshold is the radius,
+    which no pair's bound exceeds.
+    """
+    exact = max(0.0, 2 - 2 * cosine) + 1e-9
+    if recall >= 1 and not whole:
+        return exact
+    needs = usable.select("vec_id", "label", "embedding").mapInArrow(_needs(shared, cosine), "at long, need double")
+    row = needs.groupBy("at").agg(F.max("need").alias("need")).agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).first()
+    if not whole and row.n * (1 - recall) < 3:
+        return exact
+    return min(exact, (row.need or 0.0) + 1e-9)
+
+
 def _code(index, radius: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = index.value
@@ -118,9 +156,9 @@ def link_vectors(vectors: DataFrame, cosine: float, recall: float = 0.999, seed:
     with a null id. Rows that repeat a vec_id count as one vector (the least row stays).
 
     Codebooks are fitted to at most ``SAMPLE_ROWS`` vectors; every vector is coded. Each
-    visits the cells nearest to it until the summed bound passes a radius at which a pair
-    just at the threshold is found with probability ``recall``; closer pairs are found
-    more surely. Every pair met is verified on the vectors themselves.
+    visits the cells nearest to it until the summed bound passes a radius at which all links
+    of the sample's vectors are found, or no link can be missed where the sample has too few
+    links to vouch for ``recall``. Every pair met is verified on the vectors themselves.
 
     Blocks of one band of cells are compared in one task; a band with many entries or
     many searching vectors is dealt into more blocks, so near copies of one vector spread
@@ -131,15 +169,18 @@ def link_vectors(vectors: DataFrame, cosine: float, recall: float = 0.999, seed:
     dim = mi.common_dim(vectors, "embedding")
     usable = rows.where(F.col("label").isNotNull() & mi.usable("embedding", dim))
     total = usable.count()
-    keys, sample = mi.fit_sample(usable, "vec_id", "embedding", total, SAMPLE_ROWS, seed)
+    keys, sample, labels = mi.fit_sample(usable, "vec_id", "embedding", total, SAMPLE_ROWS, seed, "label")
     if not len(keys):
         alone = F.col("vec_id")
         return rows.select(alone, F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"), F.lit(True).alias("kept"))
     sample = _unit(sample)
     codes = int(min(max(4, round((total / CELL_ROWS) ** 0.5)), MAX_CODES, max(1, len(sample) // 16)))
     index = mi.MultiIndex.fit(sample, codes, seed)
-    radius = _radius(index, sample, cosine, recall, seed)
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
+    context = vectors.sparkSession.sparkContext
+    trial = context.broadcast((index, keys, sample, labels))
+    radius = _radius(usable, trial, cosine, recall, len(keys) == total)
+    trial.unpersist()
+    shared = context.broadcast(index)
     codes = len(index.second)
     kind = dict(usable.dtypes)
     schema = f"vec_id long, label {kind['label']}, embedding {kind['embedding']}, band int, code int, cells array<int>"

@@ -80,6 +80,24 @@ def test_links_equal_all_pairs(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("sample", [16_384, 500])
+def test_links_of_vectors_with_few_main_directions(spark, monkeypatch, sample):
+    """Near copies differ along the data's own main directions; also with a sample of a part."""
+    monkeypatch.setattr(vector_links, "SAMPLE_ROWS", sample)
+    rng = np.random.default_rng(4)
+    scale = 1 / np.arange(1, 65) ** 2
+    rows = []
+    for k in range(1500):
+        v = rng.normal(size=64) * scale
+        side = rng.normal(size=64) * scale
+        side -= (side @ v) / (v @ v) * v
+        c = rng.uniform(0.932, 0.95)
+        w = c * v / np.linalg.norm(v) + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+        rows += [(2 * k, v.astype(np.float32), k % 50), (2 * k + 1, w.astype(np.float32), k % 50)]
+    got = vector_links.link_vectors(make(spark, rows), 0.93).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows, 0.93)
+
+
 def test_links_of_odd_vectors(spark):
     unit = [1.0, 0, 0, 0]
     rows = [(1, unit, 1), (2, [2.0, 0, 0, 0], 1), (2, [2.0, 0, 0, 0], 1), (3, unit, 2), (4, unit, None), (5, None, 1), (6, [0, 0, 0, 0], 1)]
