@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm import (
     chat,
+    conversation_repair,
+    decontamination,
+    hard_negatives,
     language,
     mixing,
     nearest,
@@ -107,6 +110,22 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_parallel_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = conversation_repair.repair(conversation_repair.damage(turns), turns.select("conv_id"))
+    return conversation_repair.audits(repaired)
+
+
+def op12_item_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_vertical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -120,5 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_format,
         op9_prob_minhash,
         op10_language_mixture,
+        op11_parallel_viterbi,
+        op12_item_automaton,
+        op13_vertical_scan,
     )
 }

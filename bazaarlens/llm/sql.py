@@ -7,7 +7,7 @@ those queries against brute force.
 
 from __future__ import annotations
 
-from bazaarlens.llm import chat, prob_minhash, queries
+from bazaarlens.llm import chat, hard_negatives, prob_minhash, queries
 
 #: Vectors that may take part.
 USABLE = """
@@ -214,6 +214,60 @@ SELECT d.doc_id, coalesce(c.root, d.doc_id) AS component_id, coalesce(c.root, d.
 FROM documents d LEFT JOIN component c ON c.node = d.doc_id
 """
 
+#: Windows are lists of words; a text is cut into words once, and each place is compared with the windows of each length.
+CONTAMINATION = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+),
+item_places AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, w[p : p + 9] AS win, len(w[p : p + 9]) AS n FROM item_places),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM texts, lengths WHERE len(w) >= n),
+hits AS (SELECT p.doc_id, p.p, p.n, i.item_id FROM places p JOIN windows i ON p.n = i.n AND p.w[p.p : p.p + p.n - 1] = i.win),
+covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM (SELECT DISTINCT doc_id, p, n FROM hits)) GROUP BY doc_id
+),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN covered c ON t.doc_id = c.doc_id LEFT JOIN named n ON t.doc_id = n.doc_id
+"""
+
+HARD_NEGATIVES = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, CAST(list_inner_product(a.e, o.e) AS BIGINT) AS score
+  FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hard_negatives.POSITIVES}
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+WHERE {hard_negatives.LEAST_PCT} * p.positive_score <= 100 * s.score AND 100 * s.score <= {hard_negatives.MOST_PCT} * p.positive_score
+QUALIFY rank <= {hard_negatives.NEGATIVES}
+"""
+
 SQL: dict[str, str] = {
     "op2_vector_links": LINKS,
     "op5_redirect_equivalence": URLS,
@@ -221,4 +275,6 @@ SQL: dict[str, str] = {
     "op7_nearest_vectors": NEAREST,
     "op8_chat_format": CHAT,
     "op9_prob_minhash": NEAR,
+    "op12_item_automaton": CONTAMINATION,
+    "op13_vertical_scan": HARD_NEGATIVES,
 }

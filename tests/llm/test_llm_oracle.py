@@ -12,7 +12,7 @@ import __spark_entry__ as driver
 from bazaarlens.llm.queries import QUERIES
 from bazaarlens.llm.sql import SQL
 
-TABLES = ("documents", "embeddings", "pages", "conversations")
+TABLES = ("documents", "embeddings", "pages", "conversations", "benchmark")
 
 
 @pytest.mark.parametrize("name", list(SQL))
@@ -29,4 +29,4 @@ def test_query_equals_sql(spark, data_dir, name):
 
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
