@@ -16,8 +16,9 @@ from bazaarlens.llm.staging import staged
 
 #: Fitting: rows of the sample, vectors per cell aimed at.
 SAMPLE_ROWS, CELL_ROWS, MAX_CODES = 16_384, 64, 256
-#: Calibrating: sample vectors compared at once, and the cosine from which two vectors are copies.
-COMPARED_ROWS, COPY_COSINE = 1024, 1 - 1e-9
+#: Calibrating: rows of the sample that is compared with all rows, how many of them at once, and the
+#: cosine from which two vectors are copies.
+TRIAL_ROWS, COMPARED_ROWS, COPY_COSINE = 65_536, 1024, 1 - 1e-9
 #: Entries, and searching vectors, of one block of a band (cells of one first code).
 BLOCK_ROWS = 512
 
@@ -70,10 +71,10 @@ def _radius(usable: DataFrame, shared, cosine: float, recall: float, whole: bool
     """The summed bound up to which cells are visited.
 
     Sample vectors are compared with all vectors of their label, and the radius is the largest
-    that any of their links needs. With 3 / (1 - recall) sample vectors that have links, at most
-    1 - recall of all such vectors need more (at 95% confidence); where the sample is the
-    whole table, none does. With fewer, the squared distance at the threshold is the radius,
-    which no pair's bound exceeds.
+    that any of their links needs. With n sample vectors that have links, at most 3 / n of
+    all such vectors need more (at 95% confidence); where the sample is the whole table, none
+    does. If that does not vouch for ``recall``, the squared distance at the threshold is the
+    radius, which no pair's bound exceeds.
     """
     exact = max(0.0, 2 - 2 * cosine) + 1e-9
     if recall >= 1 and not whole:
@@ -86,6 +87,8 @@ def _radius(usable: DataFrame, shared, cosine: float, recall: float, whole: bool
 
 
 def _code(index, radius: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each vector's own cell, and the bands (first codes) of the cells that it visits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = index.value
         for batch in batches:
@@ -93,19 +96,19 @@ def _code(index, radius: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 continue
             x = _unit(mi.matrix(batch.column("embedding")))
             (one, two), (i, j) = grid.bounds(x), grid.codes(x)
-            cells = [[a * len(grid.second) + b for a, b in mi.visited(p, q, radius)] for p, q in zip(one, two, strict=True)]
-            extra = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "band", "code", "cells"])
+            bands = [list(dict.fromkeys(a for a, _ in mi.visited(p, q, radius))) for p, q in zip(one, two, strict=True)]
+            extra = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(bands, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "home", "code", "bands"])
 
     return run
 
 
-def _verify(codes: int, cosine: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Links between the searching vectors and the entries of one block.
+def _verify(index, radius: float, cosine: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links between the searching classes and the entries of one block.
 
-    Returns for each vector with links: their number, and the smallest id that links
-    inside the block connect it with. A pair is counted for the searching vector, and for
-    the entry too unless the entry's own search visits the other's cell.
+    Returns for each class with links: the vectors it links with, and the smallest id that
+    links inside the block connect it with. A pair is counted for the searching class, and
+    for the entry too unless the entry's own search visits the other's cell.
     """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -113,15 +116,12 @@ def _verify(codes: int, cosine: float) -> Callable[[pd.DataFrame], pd.DataFrame]
         empty = pd.DataFrame({"vec_id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
         if q.empty or e.empty:
             return empty
-        band = int(e["band"].iloc[0])
+        grid, band = index.value, int(e["band"].iloc[0])
         x, y = (_unit(np.stack(d["embedding"]).astype(np.float64)) for d in (q, e))
-        qid, eid = q["vec_id"].to_numpy(), e["vec_id"].to_numpy()
-        reach = np.zeros((len(q), codes), bool)
-        for row, cells in enumerate(q["cells"]):
-            cells = cells[cells // codes == band]
-            reach[row, cells % codes] = True
+        qid, eid, code = q["vec_id"].to_numpy(), e["vec_id"].to_numpy(), e["code"].to_numpy()
+        one, two = grid.bounds(x)
+        reach = one[:, [band]] + two <= radius
         links = np.zeros((len(q), len(e)), bool)
-        code = e["code"].to_numpy()
         for c in np.unique(code):
             rows, cols = np.flatnonzero(reach[:, c]), np.flatnonzero(code == c)
             if len(rows):
@@ -130,10 +130,10 @@ def _verify(codes: int, cosine: float) -> Callable[[pd.DataFrame], pd.DataFrame]
         rows, cols = links.any(1), links.any(0)
         if not rows.any():
             return empty
-        links, q, qid, eid = links[np.ix_(rows, cols)], q[rows], qid[rows], eid[cols]
-        home = (q["home"].to_numpy() * codes + q["code"].to_numpy()).astype(np.int64)
-        back = np.stack([np.isin(home, cells) for cells in e["cells"][cols]], axis=1)
-        n = np.r_[links.sum(1), (links & ~back).sum(0)]
+        links, q, e, qid, eid = links[np.ix_(rows, cols)], q[rows], e[cols], qid[rows], eid[cols]
+        one, two = grid.bounds(y[cols])
+        back = (one[:, q["home"]] + two[:, q["code"]] <= radius).T
+        n = np.r_[links @ e["copies"].to_numpy(), (links & ~back).T @ q["copies"].to_numpy()]
         top = np.iinfo(np.int64).max
         low_q, low_e = qid.copy(), eid.copy()
         while True:
@@ -147,7 +147,7 @@ def _verify(codes: int, cosine: float) -> Callable[[pd.DataFrame], pd.DataFrame]
     return run
 
 
-def link_vectors(vectors: DataFrame, cosine: float, recall: float = 0.999, seed: int = 0) -> DataFrame:
+def link_vectors(vectors: DataFrame, cosine: float, recall: float = 0.99, seed: int = 0) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each vector of ``vectors`` (vec_id, embedding, label).
 
     Two vectors link if their labels are equal and not null and their cosine, in doubles,
@@ -155,42 +155,47 @@ def link_vectors(vectors: DataFrame, cosine: float, recall: float = 0.999, seed:
     length, zero, or with null or non-finite components link with nothing; neither do rows
     with a null id. Rows that repeat a vec_id count as one vector (the least row stays).
 
-    Codebooks are fitted to at most ``SAMPLE_ROWS`` vectors; every vector is coded. Each
-    visits the cells nearest to it until the summed bound passes a radius at which all links
-    of the sample's vectors are found, or no link can be missed where the sample has too few
-    links to vouch for ``recall``. Every pair met is verified on the vectors themselves.
+    Equal vectors of a label form a class, for which its smallest id stands with the number
+    of copies, so copies never meet each other. Codebooks are fitted to at most
+    ``SAMPLE_ROWS`` vectors; every class is coded. Each visits the cells nearest to it until
+    the summed bound passes a radius at which all links of ``TRIAL_ROWS`` sample vectors are
+    found, or no link can be missed where they have too few links to vouch for ``recall``.
+    Every pair met is verified on the vectors themselves.
 
     Blocks of one band of cells are compared in one task; a band with many entries or
     many searching vectors is dealt into more blocks, so near copies of one vector spread
-    over tasks. A block returns a count and one edge per vector, never its pairs.
+    over tasks. A block returns a count and one edge per class, never its pairs.
     """
     rows = vectors.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
-    rows = rows.select("vec_id", "v.label", "v.embedding")
+    rows = staged(rows.select("vec_id", "v.label", "v.embedding"), "linked-rows")
     dim = mi.common_dim(vectors, "embedding")
     usable = rows.where(F.col("label").isNotNull() & mi.usable("embedding", dim))
     total = usable.count()
-    keys, sample, labels = mi.fit_sample(usable, "vec_id", "embedding", total, SAMPLE_ROWS, seed, "label")
+    keys, sample, labels = mi.fit_sample(usable, "vec_id", "embedding", total, TRIAL_ROWS, seed, "label")
     if not len(keys):
         alone = F.col("vec_id")
         return rows.select(alone, F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"), F.lit(True).alias("kept"))
     sample = _unit(sample)
     codes = int(min(max(4, round((total / CELL_ROWS) ** 0.5)), MAX_CODES, max(1, len(sample) // 16)))
-    index = mi.MultiIndex.fit(sample, codes, seed)
+    chosen = np.sort(np.random.default_rng(seed).permutation(len(sample))[:SAMPLE_ROWS])
+    index = mi.MultiIndex.fit(sample[chosen], codes, seed)
     context = vectors.sparkSession.sparkContext
     trial = context.broadcast((index, keys, sample, labels))
     radius = _radius(usable, trial, cosine, recall, len(keys) == total)
     trial.unpersist()
     shared = context.broadcast(index)
-    codes = len(index.second)
     kind = dict(usable.dtypes)
-    schema = f"vec_id long, label {kind['label']}, embedding {kind['embedding']}, band int, code int, cells array<int>"
-    coded = staged(usable.mapInArrow(_code(shared, radius), schema), "coded-vectors")
+    classes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("vec_id", "copies", "label", "embedding")
+    schema = f"vec_id long, copies long, label {kind['label']}, embedding {kind['embedding']}, home int, code int, bands array<int>"
+    coded = staged(classes.mapInArrow(_code(shared, radius), schema), "coded-vectors")
 
     key = ["label", "band"]
-    bands = F.array_distinct(F.transform("cells", lambda c: F.floor(c / codes).cast("int")))
-    search = coded.select("vec_id", "label", "embedding", "code", "cells", F.col("band").alias("home"), F.explode(bands).alias("band"))
+    own = ["vec_id", "copies", "label", "embedding", "home", "code"]
+    entries = coded.select(*own, F.col("home").alias("band"), F.lit(False).alias("searching"))
+    search = coded.select(*own, F.explode("bands").alias("band"), F.lit(True).alias("searching"))
     blocks = (
-        coded.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("e_blocks"))
+        entries.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("e_blocks"))
         .join(search.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("q_blocks")), key)
     )
     blocks = staged(blocks, "vector-blocks")
@@ -201,24 +206,28 @@ def link_vectors(vectors: DataFrame, cosine: float, recall: float = 0.999, seed:
     def every(name: str):
         return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
 
-    columns = ["vec_id", "label", "band", "home", "code", "cells", "embedding", "searching", "e", "q"]
-    entries = coded.withColumn("home", F.col("band")).withColumn("searching", F.lit(False)).join(blocks, key)
-    entries = entries.withColumn("e", part("e_blocks", 1)).withColumn("q", every("q_blocks")).select(columns)
-    search = search.withColumn("searching", F.lit(True)).join(blocks, key)
-    search = search.withColumn("q", part("q_blocks", 2)).withColumn("e", every("e_blocks")).select(columns)
-    found = entries.union(search).groupBy(*key, "e", "q").applyInPandas(_verify(codes, cosine), "vec_id long, n long, root long")
+    columns = [*own, "band", "searching", "e", "q"]
+    entries = entries.join(blocks, key).withColumn("e", part("e_blocks", 1)).withColumn("q", every("q_blocks")).select(columns)
+    search = search.join(blocks, key).withColumn("q", part("q_blocks", 2)).withColumn("e", every("e_blocks")).select(columns)
+    verify = _verify(shared, radius, cosine)
+    found = entries.union(search).groupBy(*key, "e", "q").applyInPandas(verify, "vec_id long, n long, root long")
     found = staged(found, "vector-links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     parts = connected_components(found, "vec_id", "root").withColumnRenamed("node", "vec_id")
-    component = F.coalesce("component", "vec_id")
-    return (
-        rows.select("vec_id")
-        .join(counts, "vec_id", "left")
-        .join(parts, "vec_id", "left")
-        .select(
-            "vec_id",
-            F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-            component.alias("component_id"),
-            (component == F.col("vec_id")).alias("kept"),
-        )
+    groups = coded.select("vec_id", "copies", *_fingerprint()).join(counts, "vec_id", "left").join(parts, "vec_id", "left")
+    groups = groups.select(
+        "f1",
+        "f2",
+        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "vec_id").alias("component_id"),
+    )
+    linked = usable.select("vec_id", *_fingerprint()).join(groups, ["f1", "f2"]).select("vec_id", "n_links", "component_id")
+    component = F.coalesce("component_id", "vec_id")
+    return rows.select("vec_id").join(linked, "vec_id", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept")
     )
+
+
+def _fingerprint() -> list:
+    """128 bits that stand for a label and a vector."""
+    return [F.xxhash64("label", "embedding").alias("f1"), F.xxhash64(F.lit(1), "embedding", "label").alias("f2")]

@@ -98,6 +98,30 @@ def test_links_of_vectors_with_few_main_directions(spark, monkeypatch, sample):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows, 0.93)
 
 
+def test_links_with_a_radius_from_a_part_of_the_vectors(spark, monkeypatch):
+    """The sample vouches for the recall, so not every cell is visited; no link reported is wrong."""
+    monkeypatch.setattr(vector_links, "TRIAL_ROWS", 1500)
+    monkeypatch.setattr(vector_links, "SAMPLE_ROWS", 800)
+    rows = clusters(8, [3] * 900, dim=12)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.link_vectors(make(spark, rows), 0.93).collect()}
+    expected = brute_links(rows, 0.93)
+    assert all(got[i][0] <= n and got[i][1] >= root for i, (n, root) in expected.items())
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in expected.values())
+
+
+def test_copies_count_as_vectors_and_meet_as_one(spark, monkeypatch):
+    """Two thirds of the vectors are copies of two near ones; copies under another label are apart."""
+    monkeypatch.setattr(vector_links, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=16)
+    two, far = one + 0.02 * rng.normal(size=16), -one
+    made = [(one, 0)] * 150 + [(two, 0)] * 120 + [(one, 1)] * 3 + [(far, 0)] * 2 + [(rng.normal(size=16), 0) for _ in range(120)]
+    rows = [(i, v.astype(np.float32), label) for i, (v, label) in enumerate(made)]
+    rng.shuffle(rows)
+    got = vector_links.link_vectors(make(spark, rows), 0.93).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows, 0.93)
+
+
 def test_links_of_odd_vectors(spark):
     unit = [1.0, 0, 0, 0]
     rows = [(1, unit, 1), (2, [2.0, 0, 0, 0], 1), (2, [2.0, 0, 0, 0], 1), (3, unit, 2), (4, unit, None), (5, None, 1), (6, [0, 0, 0, 0], 1)]
