@@ -79,21 +79,24 @@ def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 0) -> DataFram
     Every assignment of rows to slots is equally likely (up to the random numbers used);
     shard sizes differ by at most one row and slots of a shard count from 0 without gaps.
 
-    1. Rows get their place in the scan as an id and are written, so the ids are data.
-       Chunks are runs of ids inside one scan partition.
+    1. The rows of each scan partition are permuted where they are read, numbered in that
+       order and written, so the numbers are data. Chunks are runs of numbers inside one
+       scan partition.
     2. The matrix of rows per chunk and shard is drawn with exact sums: first per group of
        chunks from the shard sizes, on the driver (one small row per 1,024 scan
        partitions), then per chunk from the group's draw, in tasks.
-    3. Each chunk is permuted and dealt out by its matrix row.
-    4. Rows are exchanged by shard and by a random bucket of it, and permuted again; the
-       slot is the rank in the bucket plus the sizes of the buckets before.
+    3. A chunk's matrix row deals its numbers out in turn. It joins as one small row per
+       8,192 rows, which Spark broadcasts while it measures under the broadcast threshold.
+    4. Rows are exchanged by shard and by a random bucket of it, the only exchange that
+       carries them, and permuted again; the slot is the rank in the bucket plus the sizes
+       of the buckets before.
 
     Nulls, repeated rows and empty texts are rows like others; an empty table gives none.
     """
-    chunk_of = F.shiftright("id", CHUNK_BITS)
-    table = staged(
-        rows.select(F.monotonically_increasing_id().alias("id"), F.struct(*rows.columns).alias("row")), "shard-rows"
-    )
+    place = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    permuted = rows.select(place.alias("place"), F.struct(*rows.columns).alias("row")).sortWithinPartitions("place")
+    table = staged(permuted.select(F.monotonically_increasing_id().alias("id"), "row"), "shard-rows")
+    chunk_of, rank = F.shiftright("id", CHUNK_BITS), F.col("id") % (1 << CHUNK_BITS)
     counts = table.groupBy(chunk_of.alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
     counts = staged(counts.withColumn("group", F.shiftright("chunk", 33 - CHUNK_BITS + GROUP_BITS)), "shard-chunks")
     groups = counts.groupBy("group").agg(F.sum("n").alias("n")).orderBy("group").collect()
@@ -110,22 +113,19 @@ def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 0) -> DataFram
         .applyInPandas(_draw_chunks(shards, seed), "chunk long, bounds array<long>")
     )
     matrix = staged(matrix, "shard-matrix")
-    order = Window.partitionBy("chunk").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    dealt = (
-        table.withColumn("chunk", chunk_of)
-        .withColumn("rank", F.row_number().over(order) - 1)
-        .join(matrix, "chunk")
-        .withColumn("shard", F.size(F.filter("bounds", lambda b: b <= F.col("rank"))).cast("int"))
-    )
     buckets = max(1, total // shards >> CHUNK_BITS)
     key = F.xxhash64("id", F.lit(seed + 1))
-    dealt = dealt.select("id", "row", "shard", key.alias("key"), F.pmod(key, F.lit(buckets)).alias("bucket"))
+    shard = F.size(F.filter("bounds", lambda b: b <= rank)).cast("int")
+    dealt = table.withColumn("chunk", chunk_of).join(matrix, "chunk")
+    dealt = dealt.select("id", "row", shard.alias("shard"), key.alias("key"), F.pmod(key, F.lit(buckets)).alias("bucket"))
     sizes = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     again = Window.partitionBy("shard", "bucket").orderBy("key", "id")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * buckets)
     return (
-        dealt.withColumn("rank", F.row_number().over(again) - 1)
+        dealt.repartition(parts, "shard", "bucket")
+        .withColumn("rank", F.row_number().over(again) - 1)
         .join(sizes, ["shard", "bucket"])
         .select("row", "shard", (F.col("before") + F.col("rank")).alias("slot"))
     )
