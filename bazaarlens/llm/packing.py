@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,9 @@ from bazaarlens.llm.staging import staged
 
 #: Pieces that one task packs together. Padding per group is about one open sequence.
 GROUP_PIECES = 8192
-TEXTS_AT_ONCE = 64
-#: Words whose ids a task remembers.
+#: Texts whose pieces make one batch, and characters that are taken apart at once.
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 256, 1 << 20
+#: Words, and stretches between white space, whose ids a worker remembers, in each of two generations.
 MEMORY_WORDS = 1 << 18
 
 #: Fixed values of the tokenizer that :class:`WordIds` may take apart into words.
@@ -30,6 +32,11 @@ WORD_END = "</w>"
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-\u024f"
 _WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\s0-9²³¹¼-¾{_LETTERS}]+")
 _PLAIN = re.compile("[^\x1c-\x1f\u0250-\U0010ffff]*")
+_BLANK = re.compile(r"\s")
+_IS_BLANK = np.array([chr(c).isspace() for c in range(0x250)])
+#: A stretch is told apart inside a batch by a polynomial of its characters modulo 2^64.
+_CHARACTER = np.random.default_rng(20_240_609).integers(1, 1 << 63, 0x250, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -37,10 +44,12 @@ class WordIds:
     """Token ids of texts as the tokenizer gives them, with a memory of the ids of words.
 
     A tokenizer that splits texts into words first, and whose tokens mark the end of a
-    word, gives a text the ids of its words in turn. Words not met before are encoded
-    together as one text, and its ids are cut at word ends. Texts with characters beyond
-    U+024F or with what may be a special token, and all texts of other tokenizers, are
-    encoded whole.
+    word, gives a text the ids of its words in turn. No word reaches over white space, so
+    many texts are cut there at once in numpy. Only the distinct stretches are looked up,
+    only those not met before are cut into words, and only words not met before are
+    encoded, together as one text whose ids are cut at word ends. Texts whose
+    lower case has characters beyond U+024F, texts with what may be a special token, and all
+    texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -62,11 +71,13 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.powers = [np.zeros(0, np.uint64)] * 2
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[str]) -> None:
         ids = self.whole(" ".join(words))
         at = np.flatnonzero(self.ends[ids]) + 1
         if len(at) == len(words) and (not len(ids) or at[-1] == len(ids)):
@@ -75,24 +86,113 @@ class WordIds:
         else:
             self.memory.update((w, self.whole(w).tobytes()) for w in words)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.by_word and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
-        words = [_WORD.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+    def _unknown(self, words: Iterable[str]) -> list[str]:
+        """The words without ids. Words of the older generation move to the younger, so frequent ones stay."""
+        unknown = []
+        for word in words:
+            ids = self.older.get(word)
+            if ids is None:
+                unknown.append(word)
+            else:
+                self.memory[word] = ids
+        return unknown
+
+    def _learn(self, stretches: list[str]) -> None:
+        """A stretch of letters is one word; others are put together from their words."""
+        cut = {s: _WORD.findall(s) for s in stretches if not s.isalpha()}
+        words = set().union(*cut.values()).difference(self.memory)
+        words.update(s for s in stretches if s not in cut)
+        words = self._unknown(words)
+        if words:
+            self._learn_words(words)
+        get = self.memory.__getitem__
+        self.memory.update([(s, b"".join(map(get, own))) for s, own in cut.items()])
+
+    def _stretch_ids(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a plain text in lower case, and where its stretches start in the text and in the ids."""
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        edge = np.diff(np.concatenate(([True], _IS_BLANK[code], [True])).astype(np.int8))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if len(self.powers[0]) < len(code):
+            self.powers = [_powers(base, len(code)) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+        through = _CHARACTER[code]
+        through *= self.powers[0][: len(code)]
+        np.cumsum(through, out=through)
+        before = np.where(begin > 0, through[begin - 1], np.uint64(0)) if len(begin) else through[:0]
+        hashes = (through[end - 1] - before) * self.powers[1][begin]
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        own = [text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
         if len(self.memory) > MEMORY_WORDS:
-            self.memory = {}
-        new = list(dict.fromkeys(w for own in words for w in own if w not in self.memory))
+            self.memory, self.older = {}, self.memory
+        raw = list(map(self.memory.get, own))
+        new = [k for k, ids in enumerate(raw) if ids is None]
         if new:
-            self._learn(new)
-        remember = self.memory.__getitem__
-        return [
-            np.frombuffer(b"".join(map(remember, own)), "<u4") if p else self.whole(t)
-            for t, p, own in zip(texts, plain, words, strict=True)
-        ]
+            unknown = self._unknown(own[k] for k in new)
+            if unknown:
+                self._learn(unknown)
+            for k in new:
+                raw[k] = self.memory[own[k]]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        start, n = np.cumsum(size) - size, size[which]
+        at = np.cumsum(n) - n
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        return flat[np.repeat(start[which] - at, n) + np.arange(n.sum())], begin, np.append(at, n.sum())
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        low = [t.lower() for t in texts]
+        plain = [self.by_word and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in low]
+        out = [None if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
+        for run in _runs([(i, len(low[i])) for i in np.flatnonzero(plain).tolist()]):
+            own = [low[i] for i in run]
+            if len(run) == 1 and len(own[0]) > CHARACTERS_AT_ONCE:
+                out[run[0]] = np.concatenate([self._stretch_ids(part)[0] for part in _parts(own[0])])
+                continue
+            ids, begin, at = self._stretch_ids("\n".join(own))
+            cuts = np.cumsum([0, *(len(t) + 1 for t in own)])
+            cuts = at[np.searchsorted(begin, cuts)].tolist()
+            for i, a, b in zip(run, cuts[:-1], cuts[1:], strict=True):
+                out[i] = ids[a:b]
+        return out
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One memory for all tasks of a Python worker."""
+    return WordIds(path)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _runs(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Runs of texts (place, length) of bounded length together; a longer text is alone."""
+    run, total = [], 0
+    for i, size in sizes:
+        if run and total + size > CHARACTERS_AT_ONCE:
+            yield run
+            run, total = [], 0
+        run.append(i)
+        total += size + 1
+    if run:
+        yield run
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text cut at white space."""
+    at = 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + CHARACTERS_AT_ONCE)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def _cut(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordIds(public_tokenizers.path(tokenizer))
+        model = word_ids(public_tokenizers.path(tokenizer))
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
@@ -126,48 +226,66 @@ def dot_product_bins(demand: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarr
     ``demand`` (items x dimensions) must fit ``capacity`` item by item. Bins are filled
     one after another: among all items that fit what is left in every dimension, the one
     with the largest dot product of its demand with what is left, both in units of the
-    capacity, goes in, until none fits. Ties go to the item that comes first. Items of
-    equal demand are taken from one stack, so a step costs the number of different
-    demands and not the number of items.
+    capacity, goes in, until none fits. Ties go to the smaller demand, first dimension
+    first, then to the item that comes first. Items of equal demand are taken from one
+    stack, so a step costs the number of different demands and not the number of items.
     """
     n = len(demand)
     bins, offsets = np.empty(n, np.int64), np.empty(n, np.int64)
     kinds, kind = np.unique(demand, axis=0, return_inverse=True)
     kind = kind.ravel()
-    stacks = [list(s[::-1]) for s in np.split(np.argsort(kind, kind="stable"), np.cumsum(np.bincount(kind, minlength=len(kinds)))[:-1])]
-    left = np.array([len(s) for s in stacks])
+    stacks = [s[::-1].tolist() for s in np.split(np.argsort(kind, kind="stable"), np.cumsum(np.bincount(kind, minlength=len(kinds)))[:-1])]
     scaled = kinds / capacity
+    # The first item of a bin does not depend on the others, so it comes from one fixed order.
+    starts = iter(np.argsort(-(scaled @ np.ones(len(capacity))), kind="stable").tolist())
+    live = np.arange(len(kinds))  # kinds with items left, by their first dimension
+    (tokens, *others), live_scaled, gone = kinds.T.copy(), scaled, np.zeros(len(live), bool)
+    stale = 0
+    k = next(starts, None)
     b = 0
-    while left.any():
-        room, open_ = capacity.astype(np.int64).copy(), True
-        offset = 0
-        live = np.flatnonzero(left)
-        while open_:
-            live = live[(kinds[live] <= room).all(1)]
-            live = live[left[live] > 0]
-            if not len(live):
-                break
-            k = int(live[np.argmax(scaled[live] @ (room / capacity))])
-            item = stacks[k].pop()
-            left[k] -= 1
+    while k is not None:
+        if not stacks[k]:
+            k = next(starts, None)
+            continue
+        room, offset, fits, best = capacity.astype(np.int64).copy(), 0, len(live), k
+        while True:
+            item = stacks[best].pop()
             bins[item], offsets[item] = b, offset
-            offset += int(kinds[k, 0])
-            room -= kinds[k]
+            offset += int(kinds[best, 0])
+            room -= kinds[best]
+            if not stacks[best]:
+                gone[np.searchsorted(live, best)] = True
+                stale += 1
+            if 4 * stale > len(live):
+                live, stale = live[~gone], 0
+                (tokens, *others), live_scaled, gone = kinds[live].T.copy(), scaled[live], np.zeros(len(live), bool)
+                fits = len(live)
+            fits = int(np.searchsorted(tokens[:fits], room[0], side="right"))
+            if not fits:
+                break
+            score = live_scaled[:fits] @ (room / capacity)
+            for needed, left in zip(others, room[1:], strict=True):
+                score[needed[:fits] > left] = -1.0
+            score[gone[:fits]] = -1.0
+            at = int(score.argmax())
+            if score[at] < 0:
+                break
+            best = int(live[at])
         b += 1
     return bins, offsets
 
 
-def _pack(capacity: tuple[int, int, int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _pack(capacity: tuple[int, int, int]) -> Callable[[pa.Table], pa.Table]:
     limit = np.array(capacity, np.int64)
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "row"], ignore_index=True)
-        demand = np.stack([rows["length"], np.ones(len(rows), np.int64), rows["loss"]], axis=1).astype(np.int64)
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("row", "ascending")])
+        length, loss = (rows.column(c).to_numpy() for c in ("length", "loss"))
+        demand = np.stack([length, np.ones(len(length), np.int64), loss], axis=1).astype(np.int64)
         bins, offsets = dot_product_bins(demand, limit)
-        out = rows.drop(columns=["part"])
-        out["sequence_id"] = (np.int64(rows["part"].iloc[0]) << 32) + bins if len(rows) else bins
-        out["offset"] = offsets
-        return out
+        group = rows.column("part").to_numpy().astype(np.int64)
+        out = rows.drop_columns(["part"])
+        return out.append_column("sequence_id", pa.array((group << 32) + bins)).append_column("offset", pa.array(offsets))
 
     return pack
 
@@ -188,7 +306,7 @@ def pack(pieces: DataFrame, tokens: int, segments: int, loss_tokens: int, seed:
     groups = max(1, worst[0] // GROUP_PIECES)
     table = table.withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.drop("part").schema)
-    packed = table.groupBy("part").applyInPandas(
+    packed = table.groupBy("part").applyInArrow(
         _pack((tokens, segments, loss_tokens)), f"{fields}, sequence_id long, offset long"
     )
     return packed.drop("row")

@@ -56,7 +56,64 @@ def test_word_ids_equal_the_tokenizer(texts):
     for text, ids in zip(texts, words.encode(texts)):
         assert ids.tolist() == words.model.encode(text, add_special_tokens=False).ids
     if len(words.memory) > 200:
-        words.memory = {}
+        words.memory, words.older = {}, words.memory
+
+
+def test_word_ids_of_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "CHARACTERS_AT_ONCE", 20)
+    words = packing.WordIds(public_tokenizers.path(queries.PACK_TOKENIZER))
+    texts = ["", "Short one", "it's a longer text, cut\n\nat white-space; " * 9, "x" * 50 + " y", " " * 45, "don't " * 3 + "\t", "界 not plain"]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert ids.tolist() == words.model.encode(text, add_special_tokens=False).ids
+
+
+def test_word_ids_of_every_character_that_is_not_encoded_whole():
+    """Also capitals whose small letters lie further up."""
+    words = word_ids(queries.PACK_TOKENIZER)
+    texts = [f"a{c}b {c}{c} x{c} {c}1" for c in map(chr, range(0x260))]
+    for text, ids in zip(texts, words.encode(texts)):
+        assert ids.tolist() == words.model.encode(text, add_special_tokens=False).ids, text
+
+
+def plain_bins(demand, capacity):
+    """The heuristic by a loop over all items."""
+    left, bins, b = list(range(len(demand))), {}, 0
+    while left:
+        room = capacity.astype(float)
+        while fits := [i for i in left if (demand[i] <= room).all()]:
+            best = max(fits, key=lambda i: ((demand[i] / capacity) @ (room / capacity), *(-demand[i]).tolist(), -i))
+            bins[best], room = b, room - demand[best]
+            left.remove(best)
+        b += 1
+    return [bins[i] for i in range(len(demand))]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 16), st.integers(0, 8)), max_size=40))
+def test_bins_equal_a_plain_loop(items):
+    """Capacities are powers of two, so that equal products are equal numbers."""
+    demand = np.array([(t, 1, min(t, loss)) for t, loss in items], np.int64).reshape(-1, 3)
+    capacity = np.array([16, 4, 8])
+    bins, _ = packing.dot_product_bins(demand, capacity)
+    totals = [sorted(map(tuple, demand[bins == b].tolist())) for b in np.unique(bins)]
+    plain = np.array(plain_bins(demand, capacity), int)
+    assert totals == [sorted(map(tuple, demand[plain == b].tolist())) for b in np.unique(plain)]
+
+
+def test_pack_with_fewer_loss_tokens_than_tokens(spark):
+    """Prompts bear no loss, so each of the three limits closes sequences."""
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, int(n), int(rng.integers(0, min(n, 30) + 1))) for i, n in enumerate(rng.integers(1, 65, 400))]
+    rows += [(1000 + i, 0, 1, 0) for i in range(60)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, start long, length long, loss long"), 64, 6, 32).toPandas()
+    assert len(packed) == len(rows)
+    sums = packed.groupby("sequence_id").agg(tokens=("length", "sum"), pieces=("length", "size"), loss=("loss", "sum"))
+    assert sums.tokens.max() <= 64 and sums.pieces.max() <= 6 and sums.loss.max() <= 32
+    # Without the loss limit fewer sequences would do.
+    free = packing.pack(spark.createDataFrame(rows, "doc_id long, start long, length long, loss long"), 64, 6, 64).toPandas()
+    assert free.sequence_id.nunique() < len(sums) and free.groupby("sequence_id").loss.sum().max() > 32
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 0, 40, 33)], "doc_id long, start long, length long, loss long"), 64, 6, 32)
 
 
 def test_other_tokenizers_encode_whole_texts():
