@@ -7,34 +7,20 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.numeric import with_totals
 
-# A 63-bit range is narrowed to one value by three cuts into 2^21 buckets each.
-BUCKETS, PASSES = 1 << 21, 3
-
-
 def _scaled(value: Column, digits: int) -> Column:
     """A value with at most ``digits`` decimals as a whole number."""
     return (value.cast(f"decimal(38,{max(digits, 8)})") * F.lit(10**digits)).cast("long")
 
 
-def _narrowed(counted: DataFrame, window: DataFrame) -> DataFrame:
-    """One row: the bucket of ``window`` that holds its rank, as the next window.
+# A bucket holds the whole numbers that agree in sign and in their leading bits.
+LEADING_BITS = 17
 
-    A window is a struct of its lowest value, the width of its buckets and the rank that
-    is sought in it. At most ``BUCKETS`` counts reach the task that adds them up.
-    """
-    w = F.col("_w")
-    inside = counted.withColumn("_w", window.scalar()).where((F.col("v") >= w.low) & (F.col("v") - w.low < w.width * BUCKETS))
-    buckets = inside.groupBy("_w", F.expr("(v - _w.low) div _w.width").alias("bucket")).agg(F.sum("copies").alias("copies"))
-    through = F.sum("copies").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    reached = buckets.withColumn("through", through).where(F.col("through") > w.rank)
-    first = F.min(F.struct("bucket", "through", "copies", "_w"))
-    return reached.agg(first.alias("b")).select(
-        F.struct(
-            (F.col("b._w.low") + F.col("b.bucket") * F.col("b._w.width")).alias("low"),
-            F.expr(f"(b._w.width + {BUCKETS - 1}) div {BUCKETS}").alias("width"),
-            (F.col("b._w.rank") - F.col("b.through") + F.col("b.copies")).alias("rank"),
-        ).alias("w")
-    )
+
+def _bucket() -> Column:
+    """The bucket of ``v``, ascending with it. Buckets are single values up to 2^17 and about
+    0.001% wide above; 64-bit numbers have fewer than 6.5 million of them."""
+    shift = f"greatest(length(bin(abs(v))) - {LEADING_BITS}, 0)"
+    return F.expr(f"sign(v) * (shiftright(abs(v), {shift}) + {shift} * {1 << LEADING_BITS - 1}L)").cast("long")
 
 
 def exact_quantile(df: DataFrame, value: str, p: float, out: str = "quantile", digits: int = 2) -> DataFrame:
@@ -42,35 +28,34 @@ def exact_quantile(df: DataFrame, value: str, p: float, out: str = "quantile", d
     most ``digits`` decimals.
 
     ``percentile`` would keep every distinct value in a single buffer. Here copies of a
-    value are counted on the map side, and the rank is found by cutting the range of
-    values into a fixed number of buckets, three times: each pass counts per bucket and
-    goes on inside the bucket that holds the rank, until a bucket is one value. The same
-    passes run for any number of rows. The next value up comes from one more aggregate.
+    value are counted on the map side. One aggregate of the counts gives the total of each
+    bucket (:func:`_bucket`), of which there is a bounded number; a second one looks only
+    into the bucket that holds the rank, and the next one. Values are compared and never
+    subtracted, so no range of values is too wide.
     """
     values = df.select(_scaled(F.col(value), digits).alias("v")).where(F.col("v").isNotNull())
     counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
-    n = F.sum("copies")
-    window = counted.agg(
-        F.struct(
-            F.min("v").alias("low"),
-            F.expr(f"(max(v) - min(v) + {BUCKETS}) div {BUCKETS}").alias("width"),
-            F.floor(F.lit(p) * (n - 1).cast("double")).alias("rank"),
-        ).alias("w")
+    ranges = counted.groupBy(_bucket().alias("bucket"))
+    ranges = ranges.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("copies").alias("n"))
+    # One row per bucket.
+    through = F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    position = F.lit(p) * (F.sum("n").over(Window.partitionBy()) - 1).cast("double")
+    placed = ranges.select("low", "high", "n", through.alias("through"), position.alias("position"))
+    below, rank = F.col("through") - F.col("n"), F.floor("position")
+    held = placed.where((F.col("through") > rank) & (below <= rank + 1)).agg(
+        F.struct(F.min("low").alias("low"), F.max("high").alias("high"), F.min(below).alias("below"), F.max("position").alias("position")).alias("w")
     )
-    for _ in range(PASSES):
-        window = _narrowed(counted, window)
-    found = counted.withColumn("_low", window.select("w.low").scalar())
-    above = F.col("v") > F.col("_low")
-    ends = found.agg(
-        F.max("_low").alias("lower"),
-        F.min(F.when(above, F.col("v"))).alias("next"),
-        F.sum(F.when(~above, F.col("copies"))).alias("through"),
-        (F.lit(p) * (n - 1).cast("double")).alias("rank"),
+    w = F.col("_w")
+    inside = counted.withColumn("_w", held.scalar()).where((F.col("v") >= w.low) & (F.col("v") <= w.high))
+    reached = F.sum("copies").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = inside.select("v", (reached + w.below).alias("reached"), w.position.alias("position")).agg(
+        F.min(F.when(F.col("reached") > rank, F.col("v"))).alias("lower"),
+        F.min(F.when(F.col("reached") > rank + 1, F.col("v"))).alias("upper"),
+        F.max("position").alias("position"),
     )
     unit = float(10**digits)
-    lower = F.col("lower") / unit
-    upper = F.when(F.col("through") > F.ceil("rank"), F.col("lower")).otherwise(F.col("next")) / unit
-    share = F.col("rank") - F.floor("rank")
+    lower, upper = F.col("lower") / unit, F.col("upper") / unit
+    share = F.col("position") - rank
     return ends.select((lower + F.when(share > 0, (upper - lower) * share).otherwise(0.0)).alias(out))
 
 
@@ -84,7 +69,8 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, digits: int) ->
     scaled = df.select(_scaled(F.col(value), digits).alias("v"))
     scaled = scaled.where(F.col("v").isNotNull())
     limited = with_totals(scaled, scaled, low=F.min("v"), high=F.max("v")).select("v", "_all.low", "_all.high")
-    position = F.expr(f"((v - low) * {bins}) div nullif(high - low, 0)")
+    above, span = (f"cast({x} as decimal(20,0)) - low" for x in ("v", "high"))
+    position = F.expr(f"(({above}) * {bins}) div nullif({span}, 0)")
     counted = limited.groupBy(
         "low",
         "high",
@@ -97,7 +83,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, digits: int) ->
     unit = float(10**digits)
     spread = F.col("high") > F.col("low")
     start = F.when(spread, F.col("low") / unit).otherwise(F.col("low") / unit - 0.5)
-    width = F.when(spread, (F.col("high") - F.col("low")) / unit).otherwise(1.0)
+    width = F.when(spread, (F.col("high").cast("decimal(20,0)") - F.col("low")).cast("double") / unit).otherwise(1.0)
     return filled.select(
         "found",
         start.alias("start"),
