@@ -1,13 +1,14 @@
 """Running totals and row numbers over keys of any size.
 
 A plain window sends all rows of one key to one task. Here each key is cut into chunks
-that follow the window order (days, for instance): per-chunk totals are aggregated on the
-map side, the few chunk rows of a key are accumulated, and the row-level window works
-inside one chunk. The rows are shuffled once, by key and chunk, and the chunk offsets join
-on that same partitioning.
+that follow the window order (days, for instance), and a chunk with very many rows is cut
+again, at the order values of rows that a hash picks out of it. Per-chunk totals are
+aggregated on the map side, the few chunk rows of a key are accumulated, and the row-level
+window works inside one chunk. The rows are shuffled once, by key and chunk, and the chunk
+offsets join on that same partitioning.
 
 NULL keys form one key, as in a plain window. Chunk columns must not be NULL; callers
-replace NULL chunks first.
+replace NULL chunks first. The rows are read several times, so callers pass a written table.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.session import staged
+
+#: A chunk is cut about once in this many rows.
+CHUNK_ROWS = 200_000
+
 
 def _filled(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``_key0, _none0, ...``: the keys without NULL, and whether each was NULL. They
@@ -30,6 +36,32 @@ def _filled(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumns(columns)
 
 
+def cuts_of(base: DataFrame, keys: Sequence[str], chunk: Sequence[str], order: Sequence[Column]) -> DataFrame | None:
+    """Where chunks are cut: the order values of rows that a hash of these values picks, one
+    in ``CHUNK_ROWS``, as a list per chunk; nothing if no row is picked.
+
+    So the number of parts follows the number of rows, also where all of them share a day or
+    an amount. The lists are short and all of them together a small table, which is written.
+    """
+    picked = _filled(base, keys).withColumn("_at", F.struct(*order)).where(F.pmod(F.xxhash64("_at"), F.lit(CHUNK_ROWS)) == 0)
+    cuts = staged(picked.groupBy(*_own(keys), *chunk).agg(F.collect_set("_at").alias("_cuts")), "chunk-cuts")
+    return None if cuts.isEmpty() else cuts
+
+
+def cut(df: DataFrame, keys: Sequence[str], chunk: Sequence[str], order: Sequence[Column], cuts: DataFrame | None) -> DataFrame:
+    """Adds ``_part``, the place of a row's part in its chunk: 0 unless the chunk is cut."""
+    rows = _filled(df, keys)
+    if cuts is None:
+        return rows.withColumn("_part", F.lit(0))
+    rows = rows.withColumn("_at", F.struct(*order)).join(cuts, [*_own(keys), *chunk], "left")
+    part = F.size(F.filter("_cuts", lambda c: c <= F.col("_at")))
+    return rows.withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_at", "_cuts")
+
+
+def _own(keys: Sequence[str]) -> list[str]:
+    return [f"_{kind}{i}" for i in range(len(keys)) for kind in ("key", "none")]
+
+
 def _with_offset(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,23 +73,25 @@ def _with_offset(
     out: str,
     base: DataFrame | None,
 ) -> DataFrame:
-    own = [f"_{kind}{i}" for i in range(len(keys)) for kind in ("key", "none")]
-    earlier = Window.partitionBy(*own).orderBy(*chunk_order).rowsBetween(Window.unboundedPreceding, -1)
+    own = _own(keys)
+    base = df if base is None else base
+    cuts = cuts_of(base, keys, chunk, order)
+    earlier = Window.partitionBy(*own).orderBy(*chunk_order, "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        _filled(df if base is None else base, keys)
-        .groupBy(*own, *chunk)
+        cut(base, keys, chunk, order, cuts)
+        .groupBy(*own, *chunk, "_part")
         .agg(total.alias("_chunk_total"))
-        .select(*own, *chunk, F.sum("_chunk_total").over(earlier).alias("_offset"))
+        .select(*own, *chunk, "_part", F.sum("_chunk_total").over(earlier).alias("_offset"))
     )
-    inside = Window.partitionBy(*own, *chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*own, *chunk, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # NULL only as long as there was no value, neither in this chunk nor before it.
     both = F.coalesce(F.col(out) + F.col("_offset"), F.col(out), F.col("_offset"))
     return (
-        _filled(df, keys)
+        cut(df, keys, chunk, order, cuts)
         .withColumn(out, within.over(inside))
-        .join(offsets, [*own, *chunk])
+        .join(offsets, [*own, *chunk, "_part"])
         .withColumn(out, both)
-        .drop("_offset", *own)
+        .drop("_offset", "_part", *own)
     )
 
 
@@ -71,8 +105,9 @@ def running_total(
     out: str,
     base: DataFrame | None = None,
 ) -> DataFrame:
-    """Cumulative sum of ``value`` per key in ``order``. ``base`` holds the same rows as
-    ``df`` in a cheaper form, for the chunk totals, when ``df`` carries earlier windows."""
+    """Cumulative sum of ``value`` per key in ``order``, which is ascending and ends in a
+    unique column. ``base`` holds the same rows as ``df`` in a cheaper form, for the cuts and
+    the chunk totals, when ``df`` carries earlier windows."""
     return _with_offset(df, keys, chunk, chunk_order, order, F.sum(value), F.sum(value), out, base)
 
 
@@ -85,5 +120,5 @@ def row_number(
     out: str,
     base: DataFrame | None = None,
 ) -> DataFrame:
-    """1, 2, 3, ... per key in ``order``; ``base`` as for :func:`running_total`."""
+    """1, 2, 3, ... per key in ``order``; ``order`` and ``base`` as for :func:`running_total`."""
     return _with_offset(df, keys, chunk, chunk_order, order, F.count(F.lit(1)), F.row_number(), out, base)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import ordered
 from bazaarlens.functions.numeric import percent, ratio, rounded
+from bazaarlens.session import staged
 
 # Labels of the report.
 SCALE_UP = "SCALE UP — High LTV + Strong Acquisition"
@@ -114,13 +115,14 @@ def _lifetime_value(customers: DataFrame, history: DataFrame) -> DataFrame:
 
 def order_sequence(orders: DataFrame) -> DataFrame:
     """Position of each delivered order in its customer's history, by date then order id.
-    Days are the chunks, so one customer with very many orders is spread over its days."""
+    Days are the chunks, and large days are cut once more, so one customer with very many
+    orders is spread over tasks. The narrow rows are written once."""
     undated = F.lit("0001-01-01").cast("date")
     rows = orders.where("is_delivered = 1").select(
         "order_id", "customer_id", "channel", "order_date", F.coalesce(F.col("order_date").cast("date"), undated).alias("_day")
     )
     return ordered.row_number(
-        rows,
+        staged(rows, "delivered-orders"),
         keys=["customer_id"],
         chunk=["_day"],
         chunk_order=[F.col("_day")],

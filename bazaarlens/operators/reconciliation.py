@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions import calendar, ordered
 from bazaarlens.functions.numeric import percent, rounded
 from bazaarlens.functions.quantiles import exact_quantile
+from bazaarlens.session import staged
 
 # Thresholds and labels of the report.
 AUDIT_QUANTILE = 0.75
@@ -33,7 +34,8 @@ def _paid_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def _seller_positions(paid: DataFrame) -> DataFrame:
-    """Running shortfall and rank of each payout within its seller, on narrow rows."""
+    """Running shortfall and rank of each payout within its seller, on narrow rows, which are
+    written once and read for the cuts, the offsets and the windows."""
     amount = F.col("discrepancy_amt")
     undated = F.lit("0001-01-01").cast("date")
     # Sixteen classes per doubling, so even a seller whose payouts are all short is spread.
@@ -48,6 +50,7 @@ def _seller_positions(paid: DataFrame) -> DataFrame:
         F.coalesce(F.col("settlement_date").cast("date"), undated).alias("_day"),
         F.coalesce(signed.cast("int"), F.lit(-(10**6))).alias("_class"),
     ).withColumn("_zero_day", F.when(F.col("_class") == 0, F.col("_day")).otherwise(undated))
+    rows = staged(rows, "seller-payouts")
     placed = ordered.running_total(
         rows,
         keys=["seller_id"],
@@ -62,7 +65,7 @@ def _seller_positions(paid: DataFrame) -> DataFrame:
         keys=["seller_id"],
         chunk=["_class", "_zero_day"],
         chunk_order=[F.desc("_class"), F.asc("_zero_day")],
-        order=[F.desc("discrepancy_amt"), F.asc("settlement_date"), F.asc("payment_id")],
+        order=[-F.col("discrepancy_amt"), F.col("settlement_date"), F.col("payment_id")],
         out="rank_within_seller",
         base=rows,
     )
@@ -82,8 +85,8 @@ def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFra
     low, then settlement date and payment id. Both are computed on narrow rows and joined
     back on the order id, by which the wide rows are partitioned already. Their orders are
     cut into chunks (settlement days; magnitude classes of the shortfall, and days among
-    the many zero shortfalls), so that a seller with a large share of all payouts is spread
-    over many tasks; payouts of one seller and day, or with one non-zero shortfall, are not.
+    the many zero shortfalls) and large chunks once more, so that a seller with a large share
+    of all payouts is spread over many tasks, whatever days and amounts these have.
     """
     paid = _paid_orders(orders, payments)
     named = sellers.select("seller_id", "seller_name", F.col("tier").alias("seller_tier"), "commission_pct")

@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -57,6 +58,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bazaarlens-bench-"))
     seconds = {}
     for name in HEADLINE:
         times = []

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import calendar, normal, numeric, ordered, quantiles
@@ -68,15 +69,40 @@ def test_exact_quantile(spark, size, p):
     assert got == pytest.approx(float(np.quantile(values, p)), abs=1e-9)
 
 
-def test_exact_quantile_over_a_range_that_needs_every_pass(spark):
-    values = [-(10**16), -3, 0, 1, 2, 5 * 10**15, 10**16]
+@pytest.mark.parametrize("digits", [0, 2])
+def test_exact_quantile_over_the_widest_range(spark, digits):
+    """The whole numbers differ by more than 2^63."""
+    top = 9 * 10**18 // 10**digits
+    values = [-top, -3, 0, 1, 2, top // 2, top]
     df = spark.createDataFrame([(v,) for v in values], "x long")
     for p in (0.0, 0.3, 0.5, 0.9, 1.0):
-        got = quantiles.exact_quantile(df, "x", p, digits=0).first()[0]
+        got = quantiles.exact_quantile(df, "x", p, digits=digits).first()[0]
         assert got == pytest.approx(float(np.quantile(np.array(values, float), p)), rel=1e-12)
+    rows = quantiles.equal_width_histogram(df, "x", 2, digits).orderBy("bin").collect()
+    assert [r.frequency for r in rows] == [2, 5]
 
 
-def test_exact_quantile_keeps_no_sketch_and_no_size_switch(spark):
+@pytest.mark.parametrize("bits", [1, 3, 17])
+def test_exact_quantile_whatever_the_buckets(spark, monkeypatch, bits):
+    """Wide buckets with several values, and single values; also right at their bounds."""
+    monkeypatch.setattr(quantiles, "LEADING_BITS", bits)
+    values = [0] * 50 + list(range(-10, 30)) + [-(10**6), 10**6, 10**6 + 1, 10**6 + 1]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    for p in np.linspace(0, 1, 15):
+        got = quantiles.exact_quantile(df, "x", float(p), digits=0).first()[0]
+        assert got == pytest.approx(float(np.quantile(values, p)))
+
+
+def test_buckets_ascend_with_the_values(spark):
+    rng = random.Random(1)
+    values = {0, 1, -1, 2**63 - 1, -(2**63 - 1)} | {s * (2**b + d) for s in (1, -1) for b in range(1, 62) for d in (-1, 0, 1)}
+    values |= {rng.randrange(-(2**b), 2**b) for b in range(5, 63) for _ in range(20)}
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", quantiles._bucket().alias("b"))
+    buckets = [r.b for r in df.orderBy("v").collect()]
+    assert buckets == sorted(buckets) and max(buckets) < 3_250_000
+
+
+def test_exact_quantile_keeps_no_sketch(spark):
     plan = plan_of(quantiles.exact_quantile(spark.range(100), "id", 0.5))
     assert "percentile" not in plan and "ObjectHashAggregate" not in plan
 
@@ -137,3 +163,37 @@ def test_chunked_windows_treat_null_keys_and_values_like_plain_ones(spark):
     assert [r.total for r in got] == [10, 10, 15, None, 7, 7, 15]
     assert [r.n for r in got] == [1, 2, 3, 1, 2, 3, 4]
     assert got[0].asDict().keys() == {"k", "day", "v", "id", "total", "n"}
+
+
+@pytest.fixture
+def small_chunks(monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 40)
+
+
+def test_one_key_one_day_and_one_amount_are_cut_too(spark, monkeypatch):
+    """200,000 rows that differ in their id alone."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 10_000)
+    n = 200_000
+    df = spark.range(n).select(F.lit("hot").alias("k"), F.lit(1).alias("day"), F.lit(2).alias("v"), ((F.col("id") * 7919) % n).alias("id"))
+    day, order = [F.col("day")], [F.col("day"), F.col("id")]
+    cuts = ordered.cuts_of(df, ["k"], ["day"], order)
+    sizes = ordered.cut(df, ["k"], ["day"], order, cuts).groupBy("day", "_part").count().toPandas()["count"]
+    assert sizes.sum() == n and len(sizes) > 10 and sizes.max() < 10 * 10_000
+    got = ordered.running_total(df, ["k"], ["day"], day, order, "v", "total")
+    got = ordered.row_number(got, ["k"], ["day"], day, order, "n", base=df)
+    assert got.where((F.col("n") != F.col("id") + 1) | (F.col("total") != 2 * F.col("n"))).isEmpty() and got.count() == n
+
+
+def test_cut_chunks_match_plain_windows_with_nulls_and_ties(spark, small_chunks):
+    rng = random.Random(4)
+    rows = [
+        (rng.choice(["hot", "hot", None, "k"]), rng.randrange(3), rng.choice([None, *range(-3, 4)]), rng.choice([None, 5, 6]), i)
+        for i in range(2500)
+    ]
+    df = spark.createDataFrame(rows, "k string, day int, v int, w int, id int")
+    order = [F.col("day"), F.col("w"), F.col("id")]
+    got = ordered.running_total(df, ["k"], ["day"], [F.col("day")], order, "v", "total")
+    got = ordered.row_number(got, ["k"], ["day"], [F.col("day")], order, "n", base=df)
+    plain = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    expected = df.select("id", F.sum("v").over(plain).alias("total"), F.row_number().over(plain).alias("n"))
+    assert sorted(map(tuple, got.select("id", "total", "n").collect())) == sorted(map(tuple, expected.collect()))
