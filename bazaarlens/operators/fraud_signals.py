@@ -14,6 +14,8 @@ RETURN_DAYS = 180
 MIN_ORDERS = 20
 REPEAT_HOURS = 12
 REPEAT_MIN_GMV = 5000
+# Orders of one slot that a task pairs with its first orders.
+REPEAT_BLOCK = 512
 HIGH_RISK, ELEVATED, NORMAL = "RETURN_ABUSE_HIGH_RISK", "RETURN_RATE_ELEVATED", "NORMAL"
 ESCALATING, STABLE = "ESCALATING — INVESTIGATE", "STABLE"
 CRITICAL_TIER = "🔴 CRITICAL — SUSPEND ACCOUNT"
@@ -117,10 +119,14 @@ def rapid_repeat_orders(orders: DataFrame) -> DataFrame:
 
     Time is cut into one-hour slots; a repeat lies in the slot of the first order or one of
     the next twelve, so the range becomes an equality on seller, customer and slot plus a
-    residual. Only the valuable first orders are looked up thirteen times; a busy pair is
-    spread over its hours, and only the first and last slot form pairs that are dropped.
+    residual. Only the valuable first orders are looked up thirteen times, and only the first
+    and last slot form pairs that are dropped. A busy pair is spread over its hours; the
+    orders of a slot with very many are dealt into blocks, each of which all its first
+    orders look up, so pairs of one hour are formed in many tasks.
     """
     slotted = _slotted(orders, 1)
+    key = ["seller_id", "customer_id", "_slot"]
+    busy = slotted.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / REPEAT_BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
     first = (
         slotted.where(F.col("gmv") > REPEAT_MIN_GMV)
         .select(
@@ -131,18 +137,22 @@ def rapid_repeat_orders(orders: DataFrame) -> DataFrame:
             F.col("gmv").alias("first_gmv"),
             F.explode(F.sequence(F.col("_slot"), F.col("_slot") + REPEAT_HOURS)).alias("_slot"),
         )
+        .join(busy, key, "left")
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)))
+        .drop("_blocks")
     )
-    second = slotted.select(
+    second = slotted.join(busy, key, "left").select(
         "seller_id",
         "customer_id",
         F.col("order_id").alias("repeat_order_id"),
         F.col("order_date").alias("repeat_order_time"),
         F.col("gmv").alias("repeat_gmv"),
         "_slot",
+        F.coalesce(F.pmod(F.xxhash64("order_id"), "_blocks"), F.lit(0)).cast("int").alias("_block"),
     )
     gap = calendar.micros_between(F.col("repeat_order_time"), F.col("first_order_time"))
     return (
-        first.join(second, ["seller_id", "customer_id", "_slot"])
+        first.join(second, [*key, "_block"])
         .where((gap > 0) & (gap < REPEAT_HOURS * calendar.HOUR_MICROS) & (F.col("first_order_id") != F.col("repeat_order_id")))
         .select(
             "seller_id",

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import anomalies, enrich, experiments, fraud_signals
-from helpers import by, money, orders, payments
+from helpers import by, money, orders, payments, plan_of
 
 # Published tests (control n, conversions, variant n, conversions, z, p).
 PUBLISHED = [
@@ -171,6 +171,25 @@ def test_rapid_repeats_match_all_pairs(spark, seed):
     assert fraud_signals.rapid_repeat_counts(df).first().rapid_repeat_order_events == len({a for a, _ in expected})
 
 
+def test_repeats_of_one_hour_are_formed_in_many_tasks(spark, monkeypatch):
+    """600 orders of one customer at one seller in one hour, in blocks of about 20."""
+    monkeypatch.setattr(fraud_signals, "REPEAT_BLOCK", 20)
+    base, rng = datetime(2024, 3, 1), random.Random(5)
+    made = [{"order_date": base + timedelta(seconds=rng.randrange(3600)), "gmv": 9000 if i % 10 == 0 else 10} for i in range(600)]
+    df = orders(spark, made + [{"customer_id": "C2", "gmv": 9000}, {"customer_id": "C2", "order_date": "2024-01-15 11:00:00"}])
+    local = df.toPandas()
+    expected = {
+        (a.order_id, b.order_id)
+        for a in local[local.gmv > 5000].itertuples()
+        for b in local.itertuples()
+        if a.customer_id == b.customer_id and timedelta(0) < b.order_date - a.order_date < timedelta(hours=12)
+    }
+    pairs = fraud_signals.rapid_repeat_orders(df)
+    found = pairs.collect()
+    assert len(found) == len(expected) and {(r.first_order_id, r.repeat_order_id) for r in found} == expected
+    assert "_block" in plan_of(pairs).split("SortMergeJoin [seller_id")[1].split("]")[0]
+
+
 def test_refund_anomaly_scores(spark):
     clean = returning(spark)
     row = anomalies.refund_anomalies(clean).where("seller_id = 'X'").first()
