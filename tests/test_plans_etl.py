@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens import schemas
+from bazaarlens.operators import quality
 from bazaarlens.plans import etl, reports
 from bazaarlens.session import shared_folder
 from bazaarlens.sources import readers, sinks
@@ -89,7 +90,7 @@ def test_csv_columns_are_found_by_name_and_bad_values_counted(spark, tmp_path):
     rows = readers.read_csv(spark, "marketing_spend", str(path)).orderBy("date").collect()
     assert [(r.clicks, r.spend_inr) for r in rows] == [(1, money(2)), (7, money("5.25")), (None, None)]
     kept = readers.read_csv_with_rejects(spark, "marketing_spend", str(path))
-    audit = etl.raw_audits({n: kept if n == "spend" else kept.withColumn(k, F.lit("k")) for n, k in (etl.KEYS | {"spend": "channel"}).items()})
+    audit = etl.raw_audits({n: kept for n in (*etl.KEYS, "spend")}, dict.fromkeys(etl.KEYS, 1))
     counts = {r.column_name: r.unreadable_count for r in audit["spend_unreadable"].collect()}
     assert counts["clicks"] == 1 and counts["spend_inr"] == 1 and counts["date"] == 0 and counts["impressions"] == 0
     path.write_text("date,channel,clicks,impressions\n")
@@ -97,15 +98,103 @@ def test_csv_columns_are_found_by_name_and_bad_values_counted(spark, tmp_path):
         readers.read_csv(spark, "marketing_spend", str(path))
 
 
-def test_load_writes_catalog_tables(spark, tmp_path):
+def test_each_file_of_a_folder_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "spend 100%"
+    folder.mkdir()
+    (folder / "a.csv").write_text("date,channel,clicks,impressions,spend_inr\n2024-01-01,email,7,100,5.25\n")
+    (folder / "b.csv").write_text("clicks,spend_inr,note,date,channel,impressions\n8,6.50,hm,2024-01-02,search,200\n9,7,,2024-01-03,search,300\n")
+    (folder / "c.csv").write_text("channel,date,impressions,clicks,spend_inr\nsocial,2024-01-04,400,ten,8\n")
+    (folder / "empty.csv").write_text("")
+    kept = readers.read_csv_with_rejects(spark, "marketing_spend", str(folder)).orderBy("date").collect()
+    assert [(str(r.date), r.channel, r.clicks, r.impressions, r.spend_inr) for r in kept] == [
+        ("2024-01-01", "email", 7, 100, money("5.25")),
+        ("2024-01-02", "search", 8, 200, money("6.50")),
+        ("2024-01-03", "search", 9, 300, money(7)),
+        ("2024-01-04", "social", None, 400, money(8)),
+    ]
+    assert [r._unreadable for r in kept] == [[], [], [], ["clicks"]]
+    assert sorted(map(len, readers.files_by_header(spark, str(folder)).values())) == [1, 1, 1]
+    (folder / "d.csv").write_text("date,channel\n2024-01-05,email\n")
+    with pytest.raises(ValueError, match="d.csv lacks"):
+        readers.read_csv(spark, "marketing_spend", str(folder))
+
+
+def files(folder) -> list[str]:
+    return sorted(str(f.relative_to(folder)) for f in folder.rglob("*.parquet"))
+
+
+def test_load_writes_each_clean_table_once_and_catalog_names_show_its_files(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS load_test")
-    for _ in range(2):
-        etl.run_load(spark, raw(spark), str(tmp_path / "clean"), "2024-06-30", database="load_test")
-    assert spark.table("load_test.orders_clean").count() == 2
+    place = tmp_path / "clean"
+    for loads in (1, 2):  # a second load moves the names to its own files
+        paths, _ = etl.run_load(spark, raw(spark), str(place), "2024-06-30", database="load_test")
+        assert sum("orders_clean" in f for f in files(place)) == 2 * loads  # one file a month
+        found = spark.table("load_test.orders_clean")
+        assert found.count() == 2 and set(found.inputFiles()) == set(spark.read.parquet(paths["orders_clean"]).inputFiles())
+    assert not files(tmp_path.parent) or all("load_test.db" not in f for f in files(tmp_path.parent))
     assert spark.table("load_test.discrepancy_summary").first().seller_id == "S1"
+    plan = plan_of(spark.table("load_test.orders_clean").where("order_date_month = '2024-02'").select("order_id"))
+    assert "PartitionFilters: [isnotnull(order_date_month" in plan
     spark.sql("DROP DATABASE load_test CASCADE")
 
 
+def test_a_load_that_fails_leaves_the_last_one(spark, tmp_path, monkeypatch):
+    place = str(tmp_path / "clean")
+    spark.sql("CREATE DATABASE IF NOT EXISTS kept_test")
+    etl.run_load(spark, raw(spark), place, "2024-06-30", database="kept_test")
+    before = etl.published(spark, place)
+    rows = {name: readers.read_parquet(spark, before[f"{name}_clean"]).collect() for name in etl.KEYS}
+    written, write = [], sinks.write_clean
+
+    def failing(df, path, *rest):
+        if len(written) == 2:
+            raise RuntimeError("lost")
+        written.append(path)
+        return write(df, path, *rest)
+
+    monkeypatch.setattr(sinks, "write_clean", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        etl.run_load(spark, raw(spark), place, "2030-06-30", database="kept_test")
+    assert len(written) == 2 and etl.published(spark, place) == before
+    for name, kept in rows.items():
+        assert readers.read_parquet(spark, before[f"{name}_clean"]).collect() == kept
+        assert sorted(spark.table(f"kept_test.{name}_clean").collect(), key=str) == sorted(kept, key=str)
+    monkeypatch.undo()
+    paths, _ = etl.run_load(spark, raw(spark), place, "2030-06-30", database="kept_test")
+    assert etl.published(spark, place) == paths != before
+    spark.sql("DROP DATABASE kept_test CASCADE")
+
+
+def test_observed_audits_equal_audits_of_the_written_tables(spark, tmp_path):
+    source = raw(spark)
+    bad = orders(spark, [{"order_id": "O3", "gmv": 900_000}, {"order_id": "O4", "gmv": 5, "discount_amount": 9}, {"order_id": "O5"}])
+    bad = bad.withColumn("customer_id", F.when(F.col("order_id") != "O3", F.col("customer_id")))
+    bad = bad.withColumn("gmv", F.when(F.col("order_id") != "O5", F.col("gmv")))
+    source["orders"] = source["orders"].union(bad)
+    unknown = payments(spark, [{"payment_id": "P9", "expected_payout": 0}]).withColumn("order_id", F.lit(None).cast("string"))
+    source["payments"] = source["payments"].union(unknown)
+    paths, found = etl.run_load(spark, source, str(tmp_path / "clean"), "2024-06-30")
+    clean = {name: readers.read_parquet(spark, paths[f"{name}_clean"]) for name in etl.KEYS}
+    assert found["orders_nulls"].collect() == quality.null_audit(clean["orders"], etl.CRITICAL["orders"], "orders").collect()
+    assert found["payments_nulls"].collect() == quality.null_audit(clean["payments"], etl.CRITICAL["payments"], "payments").collect()
+    assert found["orders_ranges"].collect() == quality.range_audit(clean["orders"], etl.ORDER_RANGES, "orders").collect()
+    assert found["orders_rules"].collect() == quality.constraint_audit(clean["orders"], quality.order_rules()).collect()
+    assert found["payments_rules"].collect() == quality.constraint_audit(clean["payments"], quality.payment_rules()).collect()
+    assert {r.column_name: r.null_count for r in found["orders_nulls"].collect()} == {"order_id": 0, "customer_id": 1, "seller_id": 0, "gmv": 1}
+    for name, key in etl.KEYS.items():
+        assert found[f"{name}_duplicates"].collect() == quality.duplicate_audit(source[name], [key], name).collect()
+    for name in ("orders_nulls", "orders_ranges", "orders_rules", "payments_nulls", "payments_rules"):
+        assert scans(found[name]) == []
+
+
+def test_load_of_empty_extracts(spark, tmp_path):
+    source = {name: df.limit(0) for name, df in raw(spark).items()}
+    paths, found = etl.run_load(spark, source, str(tmp_path / "clean"), "2024-06-30")
+    assert readers.read_parquet(spark, paths["orders_clean"]).count() == 0
+    assert [(r.null_count, r.null_share) for r in found["orders_nulls"].collect()] == [(0, 0.0)] * 4
+    assert found["orders_duplicates"].first()[1:] == (0, 0, 0)
+
+
 def test_clean_roundtrips_do_not_overwrite_each_other(spark, data_dir):
     one, two = (reports.run("clean_roundtrip", spark, data_dir) for _ in range(2))
     assert one.count() == two.count() > 0 and one.exceptAll(two).isEmpty()
