@@ -15,8 +15,6 @@ PERIOD_BITS, GOLDEN = 31, 1327217885
 #: Sources are a catalogue that the driver reads; documents, blocks and slots are not.
 MAX_SOURCES = 10_000
 SLOT_CHUNK_BITS, BUCKET_ROWS = 14, 8192
-#: Golden-ratio points: an interval's count differs from its share by less than this (it grows with the log of the slots).
-SPREAD = 24
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, passes: float) -> list[float]:
@@ -50,11 +48,14 @@ def _schedule(documents: DataFrame, shares: Sequence[float], blocks: Sequence[in
     ranks of each source reach ``blocks`` at least.
 
     A slot's rank is its row number inside a chunk of slots plus the counts of the source
-    in the chunks before, so no source needs one task.
+    in the chunks before, so no source needs one task. There are as many slots as blocks.
+    Points miss a source's share by a few at most (by the logarithm of the slots), so only
+    that many blocks of a source, or all of a very small one, find no slot; they get slots
+    of their own at the end.
     """
     spark = documents.sparkSession
     total = sum(shares)
-    slots = int(max(((b + SPREAD) * total / s for b, s in zip(blocks, shares, strict=True) if b), default=0))
+    slots = sum(blocks)
     bounds, run = [], 0.0
     for share in shares:
         run += share
@@ -66,13 +67,19 @@ def _schedule(documents: DataFrame, shares: Sequence[float], blocks: Sequence[in
     picked = picked.select("slot", "chunk", src.alias("src"))
     counts = picked.groupBy("chunk", "src").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("chunk", "src", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    each = counts.select("chunk", "src", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("chunk", "src").orderBy("slot")
-    return (
+    ranked = (
         picked.withColumn("rank", F.row_number().over(inside) - 1)
-        .join(counts, ["chunk", "src"])
+        .join(each, ["chunk", "src"])
         .select("slot", "src", (F.col("before") + F.col("rank")).alias("rank"))
     )
+    wanted = spark.createDataFrame([(i, b, slots + i) for i, b in enumerate(blocks)], "src int, blocks long, at long")
+    have = wanted.join(counts.groupBy("src").agg(F.sum("n").alias("n")), "src", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    late = have.where("n < blocks").select("src", "at", F.explode(F.sequence("n", F.col("blocks") - 1)).alias("rank"), "n")
+    # Round after round of the sources that still have blocks, so the end is mixed, too.
+    late = late.select((F.col("at") + (F.col("rank") - F.col("n")) * len(blocks)).alias("slot"), "src", "rank")
+    return ranked.union(late)
 
 
 def mix(
@@ -82,15 +89,15 @@ def mix(
     passes: int = 2,
     block: int = 512,
     seed: int = 0,
-    one_per_id: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Pieces of documents (doc_id, text, source) in the order of a mixing schedule.
 
     Returns ``doc_id, copy, crc, size, source_size, target, slot, epoch, first, last``:
     slot ``slot`` takes words ``first`` to ``last`` (exclusive) of the document, whose text
     has the CRC-32 ``crc``, in its source's pass ``epoch``. A document from which nothing
-    is taken has one row with null slot. ``copy`` tells apart rows that share a doc_id;
-    with ``one_per_id`` only the one with the least CRC-32 takes part.
+    is taken has one row with null slot. ``copy`` tells rows apart, also those that share a
+    doc_id or have none. Columns named in ``carry`` come along.
 
     Sources by code point, null last, get ``weights`` in turn and share ``share`` times all
     words; none gets more than ``passes`` times its own. A source's documents, in an order
@@ -107,11 +114,8 @@ def mix(
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed or ''}"), text)
     base = documents.select(
-        "doc_id", "source", words.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.md5(key.cast("binary")).alias("hash")
+        "doc_id", "source", words.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.md5(key.cast("binary")).alias("hash"), *carry
     )
-    if one_per_id:
-        least = base.groupBy("doc_id").agg(F.min(F.struct("crc", "size", "source", "hash")).alias("v"))
-        base = least.select("doc_id", "v.*")
     base = staged(base.withColumn("row", F.monotonically_increasing_id()), "mix-documents")
     found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -141,7 +145,7 @@ def mix(
     cuts = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
     pieces = docs.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, cuts)))
     pieces = pieces.select(
-        "doc_id", "row", "crc", "size", "source_size", "target", "goal", "src", "start", "end", "block",
+        "doc_id", "row", "crc", "size", "source_size", "target", "goal", "src", "start", "end", "block", *carry,
         F.greatest(F.col("start"), F.col("block") * block).alias("a"),
         F.least(F.col("end"), (F.col("block") + 1) * block).alias("b"),
     )
@@ -157,7 +161,7 @@ def mix(
     taken = pieces.join(slots, ["src", "block"], "left").withColumn("stop", limit)
     took = F.col("slot").isNotNull() & (F.col("stop") > F.col("a"))
     taken = taken.select(
-        "doc_id", "row", "crc", "size", "source_size", "target",
+        "doc_id", "row", "crc", "size", "source_size", "target", *carry,
         *[F.when(took, F.col(c)).alias(c) for c in ("slot", "epoch")],
         F.when(took, F.col("a") - F.col("start")).alias("first"),
         F.when(took, F.col("stop") - F.col("start")).alias("last"),
@@ -177,22 +181,28 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
     The text is the words taken in that pass: all of it, or for the last document that a
     source needs the leading words, joined by single spaces; ``n_chars``, where there is
-    such a column, counts what is left. Rows that repeat a doc_id are one document (the
-    one whose text has the least CRC-32), and rows without a doc_id are left out.
+    such a column, counts what is left. Every row of ``documents`` is a document of its own,
+    also if it has no doc_id or shares one. The rows of each partition, and so of each
+    written file, are in the order of the schedule.
+
+    Texts join what is taken from them by 128 bits of all their columns; rows with all
+    columns equal stand for each other.
     """
-    named = documents.where(F.col("doc_id").isNotNull())
-    pieces = mix(named, one_per_id=True, **options).where(F.col("slot").isNotNull())
-    passes = pieces.groupBy("doc_id", "crc", "size", "epoch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    takes = passes.groupBy("doc_id", "crc", "size").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
-    takes = takes.select("doc_id", F.struct("crc", "size", "parts").alias("__take"))
-    same = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__take.crc")
-    rows = named.join(takes, "doc_id").where(same).dropDuplicates(["doc_id"])
-    rows = rows.withColumn("__part", F.explode("__take.parts"))
-    whole = F.col("__part.last") - F.col("__part.first") == F.col("__take.size")
+    columns = documents.columns
+    key = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *reversed(columns)).alias("b"))
+    keyed = documents.withColumn("__key", key)
+    pieces = mix(keyed, carry=["__key"], **options).where(F.col("slot").isNotNull())
+    passes = pieces.groupBy("__key", "copy", "size", "epoch").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("slot").alias("slot")
+    )
+    takes = passes.select("__key", F.struct("slot", "copy", "first", "last", "size").alias("__take"))
+    rows = keyed.dropDuplicates(["__key"]).join(takes, "__key")
+    first, last = F.col("__take.first"), F.col("__take.last")
+    whole = last - first == F.col("__take.size")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.slice(words, (F.col("__part.first") + 1).cast("int"), (F.col("__part.last") - F.col("__part.first")).cast("int"))
+    part = F.slice(words, (first + 1).cast("int"), (last - first).cast("int"))
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(part, " ")))
-    if "n_chars" in documents.columns:
+    if "n_chars" in columns:
         count = F.length("text").cast(dict(documents.dtypes)["n_chars"])
         rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(count))
-    return rows.select(documents.columns)
+    return rows.sortWithinPartitions("__take").select(columns)

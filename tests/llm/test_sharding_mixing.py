@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,5 +151,42 @@ def test_mixed_documents_hold_the_words_taken(documents, make_documents):
         words[r.doc_id] += len(r.text.split())
         assert r.text == texts[r.doc_id] or texts[r.doc_id].split()[: len(r.text.split())] == r.text.split()
     assert dict(words) == {k: v for k, v in taken.items() if v}
-    odd = make_documents([(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h"), (2, None)])
-    assert {r.doc_id for r in mixing.mixed_documents(odd).collect()} == {1}
+
+
+def test_mixing_keeps_documents_without_an_id_or_with_a_shared_one(make_documents):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words"), (None, "g h"), (None, "i j k"), (2, None)]
+    odd = make_documents(rows)
+    taken = sorted((str(r.doc_id), r.size, r.taken) for r in mixing.taken_words(mixing.mix(odd)).collect())
+    got = mixing.mixed_documents(odd)
+    assert got.columns == odd.columns
+    found = Counter((r.doc_id, len(r.text.split())) for r in got.collect())
+    assert {doc for doc, _ in found} == {1, None} and sum(n * k for (_, n), k in found.items()) == sum(t[2] for t in taken) == 29
+    # One source has no target below its size: every row comes at least once, equal rows each.
+    texts = Counter(r.text for r in got.collect())
+    assert texts["a b c d e f"] >= 2 and all(texts[t] >= 1 for _, t in rows if t)
+
+
+def test_rows_of_a_mixed_partition_follow_the_schedule(spark, documents, tmp_path):
+    mixing.mixed_documents(documents, block=16).write.parquet(str(tmp_path / "mixed"))
+    first = mixing.mix(documents, block=16).where("slot is not null").groupBy("doc_id", "epoch").agg(F.min("slot").alias("slot"))
+    slots = {}
+    for r in first.collect():
+        slots.setdefault(r.doc_id, []).append(r.slot)
+    for file in (tmp_path / "mixed").glob("*.parquet"):
+        seen, last = Counter(), -1
+        for doc in pq.read_table(file).column("doc_id").to_pylist():
+            last, before = sorted(slots[doc])[seen[doc]], last
+            seen[doc] += 1
+            assert last >= before  # a slot may hold the ends of several documents
+
+
+def test_a_tiny_source_does_not_stretch_the_schedule(documents):
+    """As many slots as blocks; what finds none comes at the end, and every rank exists once."""
+    shares, blocks = [3e6, 2e6, 20.0, 1.0], [5860, 3907, 1, 1]
+    got = mixing._schedule(documents, shares, blocks).toPandas()
+    assert got["slot"].is_unique and len(got) <= sum(blocks) + 4 * 24
+    for src, n in enumerate(blocks):
+        ranks = sorted(got[got["src"] == src]["rank"])
+        assert ranks == list(range(len(ranks))) and len(ranks) >= n
+    big = got[(got["src"] == 0) & (got["slot"] < 1000)]
+    assert abs(len(big) - 600) < 10
