@@ -299,7 +299,8 @@ def pack(pieces: DataFrame, tokens: int, segments: int, loss_tokens: int, seed:
     dot-product heuristic in one task, whatever share of the rows one document or source
     has. Row ids are written first, so a rerun of a task sees the same groups.
     """
-    table = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    # Ids are numbers with empty high bytes, which zstd stores in much less room.
+    table = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces", "zstd")
     worst = table.agg(F.count(F.lit(1)), F.max("length"), F.max("loss")).first()
     if worst[0] and (worst[1] > tokens or worst[2] > loss_tokens or segments < 1):
         raise ValueError("a piece is larger than a sequence")
