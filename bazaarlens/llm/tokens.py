@@ -16,8 +16,8 @@ from bazaarlens.llm.staging import staged
 #: Spaces and their written form in the vocabulary; a pre-token is a run of them and what follows.
 PRE_TOKEN = re.compile("[ ▁]+[^ ▁]*")
 PRE_TOKEN_SQL = "[ ▁]+[^ ▁]*"
-#: The most frequent pre-tokens are sent to every task; this bounds their number and length.
-COMMON, COMMON_CHARS = 1 << 18, 64
+#: The most frequent pre-tokens are sent to every task; this bounds their number, their characters in all and of one.
+COMMON, COMMON_CHARS, WORD_CHARS = 1 << 18, 1 << 23, 1 << 16
 
 
 def _sentencepiece(model: str):
@@ -83,22 +83,38 @@ def vocabulary(documents: DataFrame, model: str) -> DataFrame:
     return counts.mapInArrow(_count_pieces(model), "word string, pieces long, n long")
 
 
+def _common(words: DataFrame) -> DataFrame:
+    """The pre-tokens of the highest classes of frequency that together keep both bounds.
+
+    A class spans a sixteenth of a doubling. One aggregate gives the size of each of the
+    few classes; words are only filtered, so no task gathers or sorts them.
+    """
+    words = words.where(F.length("word") <= WORD_CHARS).withColumn("class", F.floor(F.log2("n") * 16))
+    least, rows, chars = None, 0, 0
+    sizes = words.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("word")).alias("chars"))
+    for size in sizes.orderBy(F.desc("class")).collect():
+        rows, chars = rows + size.rows, chars + size.chars
+        if rows > COMMON or chars > COMMON_CHARS:
+            break
+        least = size["class"]
+    return words.where(F.lit(False) if least is None else F.col("class") >= least)
+
+
 def count_tokens(documents: DataFrame, model: str, limit: int) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``documents`` (doc_id, text).
 
     Every distinct pre-token of the corpus is encoded once. Its number of pieces reaches
     the texts in two ways that give the same sum: the most frequent pre-tokens (at most
-    ``COMMON``, none longer than ``COMMON_CHARS``) go to every task as a table of bounded
-    size, which also takes the hot keys out of the join; the others are joined as rows of
-    (text, pre-token, frequency). Token ids are never built for a text.
+    ``COMMON`` with ``COMMON_CHARS`` characters in all, none longer than ``WORD_CHARS``) go to
+    every task as a table of bounded size, which also takes the hot keys out of the join; the
+    others are joined as rows of (text, pre-token, frequency). Token ids are never built for a text.
 
     Null and empty texts have no tokens. Repeated rows are counted each.
     """
     check_model(model)
     spark = documents.sparkSession
     words = staged(vocabulary(documents, model), "pre-tokens")
-    top = words.where(F.length("word") <= COMMON_CHARS).orderBy(F.desc("n"), "word").limit(COMMON)
-    top = top.select("word", "pieces").toArrow()
+    top = _common(words).select("word", "pieces").toArrow()
     common = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
     schema = "doc_id long, n_bytes long, known long, rest array<struct<word:string,n:long>>"
     texts = documents.select("doc_id", "text").mapInArrow(_sum_common(common), schema)
