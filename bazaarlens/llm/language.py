@@ -19,8 +19,8 @@ WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: The model: labelled texts per language that it is fitted to (expected number), length of n-grams, how many are kept.
 FIT_TEXTS, GRAM, MAX_GRAMS, SMOOTHING = 2_000, 3, 1 << 17, 0.5
-#: EM rounds; the largest set of languages tried; log-likelihood asked for each language more, in units of log(words).
-ROUNDS, MAX_SET, PENALTY = 12, 3, 2.0
+#: EM rounds; log-likelihood asked for each language more, in units of log(words).
+ROUNDS, PENALTY = 12, 2.0
 #: Words whose likelihoods a task remembers, and characters of texts solved together (a longer text alone).
 MEMORY_WORDS, CHARS_AT_ONCE = 1 << 17, 1 << 20
 PREDICTION = "lang_pred string, score double, langs array<string>, shares array<double>"
@@ -109,7 +109,8 @@ def mixtures(logs: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.nd
 
     ``logs`` (words x languages), ``n`` word frequencies, ``starts`` first word of each
     document. EM over all languages ranks them; then the sets of the 1, 2, ... largest are
-    solved again, and the set with the best log-likelihood less the penalty stays.
+    solved again. A document's set grows until one language more no longer raises the
+    log-likelihood less the penalty.
     """
     n = n.astype(np.float64)
     sizes = np.diff(np.r_[starts, len(n)])
@@ -118,18 +119,24 @@ def mixtures(logs: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.nd
     count = p.shape[1]
     share, _ = _climb(p, n, doc, starts, np.full((len(starts), count), 1 / count), ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
-    words = np.add.reduceat(n, starts)
-    best, shares, sets = np.full(len(starts), -np.inf), share, np.zeros(share.shape, bool)
-    for k in range(1, min(MAX_SET, count) + 1):
-        inside = np.zeros(share.shape, bool)
-        np.put_along_axis(inside, order[:, :k], True, axis=1)
-        begin = np.where(inside, np.maximum(share, 1e-3), 0)
+    best, shares, sets = np.full(len(starts), -np.inf), share.copy(), np.zeros(share.shape, bool)
+    live = np.arange(len(starts))  # the documents whose sets still grow, with their words
+    for k in range(1, count + 1):
+        inside = np.zeros((len(live), count), bool)
+        np.put_along_axis(inside, order[live, :k], True, axis=1)
+        begin = np.where(inside, np.maximum(share[live], 1e-3), 0)
         begin /= begin.sum(1, keepdims=True)
         own, value = _climb(p, n, doc, starts, begin, ROUNDS // 2 if k > 1 else 0)
-        value -= PENALTY * (k - 1) * np.log1p(words)
-        better = value > best
-        best = np.where(better, value, best)
-        shares, sets = np.where(better[:, None], own, shares), np.where(better[:, None], inside, sets)
+        value -= PENALTY * (k - 1) * np.log1p(np.add.reduceat(n, starts))
+        better = value > best[live]
+        done = live[better]
+        best[done], shares[done], sets[done] = value[better], own[better], inside[better]
+        if not better.any():
+            break
+        if not better.all():
+            keep = better[doc]
+            p, n, sizes, live = p[keep], n[keep], sizes[better], done
+            doc, starts = np.repeat(np.arange(len(live)), sizes), np.cumsum(sizes) - sizes
     return shares, sets
 
 

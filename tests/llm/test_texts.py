@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from bazaarlens.llm import components, language, prob_minhash, queries, tokens
@@ -46,6 +47,25 @@ def test_counts_of_odd_texts(make_documents):
     assert tokens.count_tokens(docs.limit(0), queries.COUNT_MODEL, 100).count() == 0
 
 
+@pytest.mark.parametrize("bounds", [(1 << 18, 1 << 23), (40, 1 << 23), (1 << 18, 300), (0, 0)])
+def test_counts_whatever_is_sent_to_every_task(spark, documents, monkeypatch, bounds):
+    """Also a long pre-token that many texts share; what is chosen keeps both bounds."""
+    monkeypatch.setattr(tokens, "COMMON", bounds[0])
+    monkeypatch.setattr(tokens, "COMMON_CHARS", bounds[1])
+    shared = "x" * 300
+    docs = documents.select("doc_id", F.concat("text", F.lit(" " + shared)).alias("text"))
+    check_counts(docs, tokens.count_tokens(docs, queries.COUNT_MODEL, 100))
+    words = tokens.vocabulary(docs, queries.COUNT_MODEL)
+    chosen = tokens._common(words).select("word", "n").toPandas()
+    assert len(chosen) <= bounds[0] and chosen["word"].str.len().sum() <= bounds[1]
+    if bounds == (1 << 18, 1 << 23):
+        assert " " + shared in set(chosen["word"])
+    if 0 < bounds[0] < 100:
+        rest = words.join(spark.createDataFrame(chosen[["word"]]), "word", "left_anti").agg(F.max("n")).first()[0]
+        assert 0 < len(chosen) and rest <= chosen["n"].min()
+
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(4)
     for n, m in ((1, 0), (40, 30), (200, 150), (300, 2000)):
@@ -227,8 +247,6 @@ def test_languages_of_held_out_documents(spark, data_dir, documents):
 
 
 def test_held_out_labels_change_nothing(documents):
-    from pyspark.sql import functions as F
-
     other = documents.withColumn("lang", F.when(language.held_out(), F.lit("zz")).otherwise(F.col("lang")))
     a, b = (sorted(language.identify(d).collect(), key=lambda r: r.doc_id) for d in (documents, other))
     assert a == b
@@ -260,9 +278,18 @@ def test_em_never_lowers_the_likelihood():
     assert (np.diff(values, axis=0) >= -1e-9).all()
 
 
-def test_languages_of_odd_texts(make_documents):
-    from pyspark.sql import functions as F
+def test_language_sets_grow_as_long_as_it_pays():
+    """A text with equal parts of five languages shows all five; with one or two it shows those."""
+    logs = np.full((60, 6), -12.0)
+    logs[np.arange(60), np.arange(60) % 6] = -2.0
+    texts = [[w for w in range(60) if w % 6 in langs] for langs in ((0, 1, 2, 3, 4), (2,), (1, 5), range(6))]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    shares, sets = language.mixtures(logs[np.concatenate(texts)], np.full(sum(map(len, texts)), 5), starts)
+    assert [np.flatnonzero(s).tolist() for s in sets] == [[0, 1, 2, 3, 4], [2], [1, 5], [0, 1, 2, 3, 4, 5]]
+    assert shares[0, :5] == pytest.approx([0.2] * 5, abs=0.01) and shares[1, 2] == pytest.approx(1)
 
+
+def test_languages_of_odd_texts(make_documents):
     rows = [(1, None), (2, ""), (3, "123 ²³ !!"), (4, "der die das und ist nicht"), (4, "der die das und ist nicht"), (None, "the of and to"), (6, "界"), (7, "wort " * 50_000)]
     docs = make_documents(rows).withColumn("lang", F.when(F.col("doc_id") == 4, "de").when(F.col("doc_id").isNull(), "en"))
     got = {}
