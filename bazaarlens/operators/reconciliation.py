@@ -34,23 +34,20 @@ def _paid_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def _seller_positions(paid: DataFrame) -> DataFrame:
-    """Running shortfall and rank of each payout within its seller, on narrow rows, which are
-    written once and read for the cuts, the offsets and the windows."""
+    """Adds the running shortfall and the rank of each payout within its seller. ``paid`` is a
+    written table, which is read for the sellers with very many payouts and their chunks, too."""
     amount = F.col("discrepancy_amt")
     undated = F.lit("0001-01-01").cast("date")
     # Sixteen classes per doubling, so even a seller whose payouts are all short is spread.
     magnitude = F.floor(F.log2(F.abs(amount.cast("double")) + 1) * 16) + 1
     signed = F.signum(amount.cast("double")) * F.when(amount == 0, 0).otherwise(magnitude)
-    rows = paid.select(
-        "order_id",
-        "payment_id",
-        "seller_id",
-        "settlement_date",
-        "discrepancy_amt",
-        F.coalesce(F.col("settlement_date").cast("date"), undated).alias("_day"),
-        F.coalesce(signed.cast("int"), F.lit(-(10**6))).alias("_class"),
+    rows = paid.withColumns(
+        {
+            "_day": F.coalesce(F.col("settlement_date").cast("date"), undated),
+            "_class": F.coalesce(signed.cast("int"), F.lit(-(10**6))),
+        }
     ).withColumn("_zero_day", F.when(F.col("_class") == 0, F.col("_day")).otherwise(undated))
-    rows = staged(rows, "seller-payouts")
+    large = ordered.large_keys(paid, ["seller_id"])
     placed = ordered.running_total(
         rows,
         keys=["seller_id"],
@@ -59,8 +56,9 @@ def _seller_positions(paid: DataFrame) -> DataFrame:
         order=[F.col("settlement_date"), F.col("payment_id")],
         value="discrepancy_amt",
         out="cumulative_discrepancy_by_seller",
+        large=large,
     )
-    placed = ordered.row_number(
+    return ordered.row_number(
         placed,
         keys=["seller_id"],
         chunk=["_class", "_zero_day"],
@@ -68,12 +66,7 @@ def _seller_positions(paid: DataFrame) -> DataFrame:
         order=[-F.col("discrepancy_amt"), F.col("settlement_date"), F.col("payment_id")],
         out="rank_within_seller",
         base=rows,
-    )
-    return placed.select(
-        F.col("order_id").alias("_order"),
-        F.col("payment_id").alias("_payment"),
-        "cumulative_discrepancy_by_seller",
-        "rank_within_seller",
+        large=large,
     )
 
 
@@ -82,19 +75,36 @@ def payment_audit_trail(orders: DataFrame, payments: DataFrame, sellers: DataFra
     and the rank of the shortfall among the seller's payouts.
 
     Running total: by settlement date, then payment id. Rank: by shortfall from high to
-    low, then settlement date and payment id. Both are computed on narrow rows and joined
-    back on the order id, by which the wide rows are partitioned already. Their orders are
-    cut into chunks (settlement days; magnitude classes of the shortfall, and days among
-    the many zero shortfalls) and large chunks once more, so that a seller with a large share
-    of all payouts is spread over many tasks, whatever days and amounts these have.
+    low, then settlement date and payment id. The payouts are joined with their orders
+    once and written. One exchange by the seller then serves both windows and the join with
+    the sellers. Only sellers with very many payouts are cut into chunks (settlement days;
+    magnitude classes of the shortfall, and days among the many zero shortfalls) and large
+    chunks once more, so that a seller with a large share of all payouts is spread over many
+    tasks, whatever days and amounts these have.
     """
-    paid = _paid_orders(orders, payments)
     named = sellers.select("seller_id", "seller_name", F.col("tier").alias("seller_tier"), "commission_pct")
-    # The order id alone is the join key; an order with several payouts matches by the range.
-    payment, same = F.col("payment_id"), F.col("_payment")
-    placed = (F.col("order_id") == F.col("_order")) & (payment >= same) & (payment <= same)
+    paid = _paid_orders(orders, payments).select(
+        "order_id",
+        "customer_id",
+        "seller_id",
+        "order_date",
+        "gmv",
+        "net_revenue",
+        "category",
+        "channel",
+        "payment_id",
+        "expected_payout",
+        "actual_payout",
+        "discrepancy_amt",
+        "discrepancy_pct",
+        "discrepancy_flag",
+        "settlement_date",
+        "settlement_cycle",
+        "payment_status",
+        "discrepancy_severity",
+    )
     return (
-        paid.join(_seller_positions(paid), placed)
+        _seller_positions(staged(paid, "settled-payouts"))
         .join(named, "seller_id")
         .select(
             "order_id",

@@ -197,3 +197,30 @@ def test_cut_chunks_match_plain_windows_with_nulls_and_ties(spark, small_chunks)
     plain = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     expected = df.select("id", F.sum("v").over(plain).alias("total"), F.row_number().over(plain).alias("n"))
     assert sorted(map(tuple, got.select("id", "total", "n").collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_keys_that_fit_a_task_cost_one_exchange_for_both_windows(spark):
+    """As many chunks as rows, but small keys: no chunk totals, no offsets to join."""
+    df = spark.range(2000).selectExpr("id % 50 k", "id % 40 day", "id v", "id")
+    order = [F.col("day"), F.col("id")]
+    got = ordered.running_total(df, ["k"], ["day"], [F.col("day")], order, "v", "total")
+    got = ordered.row_number(got, ["k"], ["day"], [F.col("day")], order, "n", base=df)
+    plan = plan_of(got)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Aggregate" not in plan
+    assert got.where("n = 1").count() == 50 and got.columns == ["k", "day", "v", "id", "total", "n"]
+
+
+def test_large_and_small_keys_beside_each_other_match_plain_windows(spark, small_chunks):
+    rng = random.Random(5)
+    keys = ["hot"] * 500 + [None] * 300 + [f"k{i % 60}" for i in range(400)]
+    rows = [(k, rng.choice([1, 2, 9]), rng.choice([None, 4, -2]), i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k string, day int, v int, id int")
+    large = ordered.large_keys(df, ["k"])
+    assert sorted((r._key0, r._none0) for r in large.collect()) == [("0", True), ("hot", False)]
+    up, down = [F.col("day"), F.col("id")], [F.desc("day"), F.col("id")]
+    got = ordered.running_total(df, ["k"], ["day"], [F.col("day")], up, "v", "total", large=large)
+    got = ordered.row_number(got, ["k"], ["day"], [F.desc("day")], [-F.col("day"), F.col("id")], "n", base=df, large=large)
+    first = Window.partitionBy("k")
+    total = F.sum("v").over(first.orderBy(*up).rowsBetween(Window.unboundedPreceding, 0))
+    expected = df.select("id", total.alias("total"), F.row_number().over(first.orderBy(*down)).alias("n"))
+    assert sorted(map(tuple, got.select("id", "total", "n").collect())) == sorted(map(tuple, expected.collect()))

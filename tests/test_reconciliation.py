@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import enrich, payout_risk, reconciliation
-from helpers import by, money, orders, payments, sellers
+from helpers import by, money, orders, payments, plan_of, sellers
 
 
 def settled(spark, rows):
@@ -85,6 +85,24 @@ def test_audit_trail_of_a_dominant_seller_matches_one_ordered_pass(spark):
     assert first["settlement_delay_days"] == (first["settlement_date"] - first["order_date"]).total_seconds() / 86400
 
 
+def test_audit_trail_joins_orders_and_payments_once(spark):
+    """The written payouts carry the whole row, so the windows' plan holds no second join of the inputs."""
+    data = settled(spark, [("A", "01-10", 100, 100), ("A", "02-28", 100, 90), ("B", "03-05", 100, 95)])
+    plan = plan_of(reconciliation.payment_audit_trail(*data))
+    assert plan.count("Window [") == 2 and plan.count("Join") == 1
+
+
+def test_audit_trail_is_the_same_with_and_without_chunks(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [("HOT" if rng.random() < 0.6 else f"S{rng.randrange(9)}", f"0{rng.randrange(1, 4)}-1{rng.randrange(4)}", 1000, 1000 - rng.choice([0, 0, 3, 40])) for _ in range(400)]
+    data = settled(spark, rows)
+    plain = reconciliation.payment_audit_trail(*data).collect()
+    monkeypatch.setattr(reconciliation.ordered, "CHUNK_ROWS", 30)
+    chunked = reconciliation.payment_audit_trail(*data)
+    assert "_chunk_total" in plan_of(chunked)
+    assert sorted(plain) == sorted(chunked.collect()) and len(plain) == 400
+
+
 def test_risk_scores_and_tiers(spark):
     paid = enrich.enrich_payments(payments(spark, [{"actual_payout": a} for a in (100, 95, 85, 70, 50)]))
     rows = by(payout_risk.disputed_payments(paid), "payment_id")
