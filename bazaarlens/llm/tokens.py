@@ -36,51 +36,61 @@ def check_model(model: str) -> None:
         raise ValueError("the model trims spaces or adds none in front")
 
 
-def _count_pieces(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(sp, words: list[str]) -> list[int]:
     """Pieces of each pre-token. The model itself puts a space in front, so the first
     character stays off; a lone space, the end of a text, is one piece."""
+    found = sp.encode([w[1:] for w in words], num_threads=1)
+    return [len(f) if len(w) > 1 else 1 for w, f in zip(words, found, strict=True)]
+
 
+def _count_pieces(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _sentencepiece(model)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            found = sp.encode([w[1:] for w in words], num_threads=1)
-            pieces = [len(f) if len(w) > 1 else 1 for w, f in zip(words, found, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pieces, pa.int64()), batch.column(1)], names=["word", "pieces", "n"]
-            )
+            pieces = pa.array(_pieces(sp, batch.column(0).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pieces, batch.column(1)], names=["word", "pieces", "n"])
 
     return run
 
 
-def _sum_common(common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per text: bytes, pieces of its common pre-tokens, and the other pre-tokens with their frequency."""
-    rare = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+def _sum_pieces(model: str, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per text: bytes and pieces. Pre-tokens outside the table are encoded once in a batch, so
+    what is remembered of them is never more than the texts of the batch hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = _sentencepiece(model)
         table = dict(zip(*common.value, strict=True))
         for batch in batches:
-            sizes, known, rest = [], [], []
+            sizes, totals, rare = [], [], {}
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 counts = Counter(PRE_TOKEN.findall(" " + text)) if text else Counter()
+                new = [w for w in counts if w not in table and w not in rare]
+                rare.update(zip(new, _pieces(sp, new), strict=True))
                 sizes.append(len(text.encode()))
-                known.append(sum(table.get(w, 0) * n for w, n in counts.items()))
-                rest.append([{"word": w, "n": n} for w, n in counts.items() if w not in table])
+                totals.append(sum((table[w] if w in table else rare[w]) * n for w, n in counts.items()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(rest, rare)],
-                names=["doc_id", "n_bytes", "known", "rest"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens"],
             )
 
     return run
 
 
-def vocabulary(documents: DataFrame, model: str) -> DataFrame:
-    """``word, pieces, n``: every distinct pre-token of the corpus, its number of pieces and its frequency."""
+def frequencies(documents: DataFrame) -> DataFrame:
+    """``word, n``: every distinct pre-token of the corpus and its frequency."""
     text = F.when(F.col("text") != "", F.concat(F.lit(" "), F.col("text")))
     words = documents.select(F.explode(F.regexp_extract_all(text, F.lit(PRE_TOKEN_SQL), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.mapInArrow(_count_pieces(model), "word string, pieces long, n long")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _encoded(words: DataFrame, model: str) -> DataFrame:
+    return words.select("word", "n").mapInArrow(_count_pieces(model), "word string, pieces long, n long")
+
+
+def vocabulary(documents: DataFrame, model: str) -> DataFrame:
+    """``word, pieces, n``: every distinct pre-token of the corpus, its number of pieces and its frequency."""
+    return _encoded(frequencies(documents), model)
 
 
 def _common(words: DataFrame) -> DataFrame:
@@ -103,27 +113,20 @@ def _common(words: DataFrame) -> DataFrame:
 def count_tokens(documents: DataFrame, model: str, limit: int) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``documents`` (doc_id, text).
 
-    Every distinct pre-token of the corpus is encoded once. Its number of pieces reaches
-    the texts in two ways that give the same sum: the most frequent pre-tokens (at most
-    ``COMMON`` with ``COMMON_CHARS`` characters in all, none longer than ``WORD_CHARS``) go to
-    every task as a table of bounded size, which also takes the hot keys out of the join; the
-    others are joined as rows of (text, pre-token, frequency). Token ids are never built for a text.
+    A text's count is the sum over its pre-tokens, frequency times pieces. The pieces of the
+    corpus's most frequent pre-tokens (at most ``COMMON`` with ``COMMON_CHARS`` characters in all,
+    none longer than ``WORD_CHARS``, none that occurs once) are counted once and go to every task
+    as a table of bounded size. All others are encoded where the text is, once in a batch of
+    texts, which gives the same sum: pairs of text and rare pre-token, whose share grows with the
+    corpus, are neither written nor shuffled. Token ids are never kept for a text.
 
     Null and empty texts have no tokens. Repeated rows are counted each.
     """
     check_model(model)
-    spark = documents.sparkSession
-    words = staged(vocabulary(documents, model), "pre-tokens")
-    top = _common(words).select("word", "pieces").toArrow()
-    common = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
-    schema = "doc_id long, n_bytes long, known long, rest array<struct<word:string,n:long>>"
-    texts = documents.select("doc_id", "text").mapInArrow(_sum_common(common), schema)
-    texts = staged(texts.withColumn("row", F.monotonically_increasing_id()), "pre-token-frequencies")
-    rare = texts.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.n")
-    sums = rare.join(words.select("word", "pieces"), "word").groupBy("row").agg(F.sum(F.col("pieces") * F.col("n")).alias("more"))
-    total = F.col("known") + F.coalesce("more", F.lit(0))
-    return (
-        texts.select("row", "doc_id", "n_bytes", "known")
-        .join(sums, "row", "left")
-        .select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+    repeated = staged(frequencies(documents).where("n > 1"), "pre-tokens")
+    top = _encoded(_common(repeated), model).select("word", "pieces").toArrow()
+    common = documents.sparkSession.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
+    counts = documents.select("doc_id", "text").mapInArrow(
+        _sum_pieces(model, common), "doc_id long, n_bytes long, n_tokens long"
     )
+    return counts.withColumn("over_limit", F.col("n_tokens") > limit)

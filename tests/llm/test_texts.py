@@ -47,6 +47,15 @@ def test_counts_of_odd_texts(make_documents):
     assert tokens.count_tokens(docs.limit(0), queries.COUNT_MODEL, 100).count() == 0
 
 
+def test_rare_pre_tokens_are_counted_where_the_text_is(make_documents):
+    """No pair of text and pre-token is shuffled, whatever share of the pre-tokens occurs once."""
+    docs = make_documents([(i, f"once{i} twice{i // 2} ever {'long' * i}") for i in range(300)])
+    got = tokens.count_tokens(docs, queries.COUNT_MODEL, 100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    check_counts(docs, got)
+
+
 @pytest.mark.parametrize("bounds", [(1 << 18, 1 << 23), (40, 1 << 23), (1 << 18, 300), (0, 0)])
 def test_counts_whatever_is_sent_to_every_task(spark, documents, monkeypatch, bounds):
     """Also a long pre-token that many texts share; what is chosen keeps both bounds."""
